@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm.common import WORD, read
+from casework.llm.common import BASE, WORD, read
 
 LAGS = 32
 NEAR = 24
@@ -96,7 +96,7 @@ class Units:
         if not n:
             return np.zeros(0, bool)
         # gaps to the nearest recurrence in the same unit: form sentences repeat from unit to unit
-        order = np.lexsort((np.arange(n), self.ids, self.unit_of))
+        order = np.argsort(self.ids + self.unit_of.astype(np.uint64) * BASE, kind="stable")
         ids, unit = self.ids[order], self.unit_of[order]
         same = (ids[1:] == ids[:-1]) & (unit[1:] == unit[:-1])
         step = np.where(same, np.diff(order), n + NEAR)
@@ -106,14 +106,16 @@ class Units:
         numeric = (self.ids & np.uint64(1)).astype(bool)
         recurs = gap <= NEAR
         lone = numeric & (gap > n) & ~self.in_link
-        # autocorrelation by lag
+        rec = self.per_unit(recurs) / self.size
+        # autocorrelation by lag, where enough words recur at all
+        at = np.flatnonzero((rec >= 0.5)[self.unit_of])
+        ids, unit = self.ids[at], self.unit_of[at]
         best = np.zeros(len(self.size))
-        for lag in range(1, min(LAGS, n - 1) + 1):
-            m = (self.ids[:-lag] == self.ids[lag:]) & (self.unit_of[:-lag] == self.unit_of[lag:])
+        for lag in range(1, min(LAGS, len(at) - 1) + 1):
+            m = (ids[:-lag] == ids[lag:]) & (unit[:-lag] == unit[lag:])
             if m.any():
-                best = np.maximum(best, np.bincount(self.unit_of[:-lag][m], minlength=len(self.size)))
+                best = np.maximum(best, np.bincount(unit[:-lag][m], minlength=len(self.size)))
         own = self.size - self.per_unit(self.in_link)
-        rec = self.per_unit(recurs) / self.size
         fw = self.per_unit(np.isin(self.ids, _FUNCTION) & ~self.in_link)
         links = (self.n_links > 0) & (own <= 6 * self.n_links) & (fw <= 2 * self.n_links)
         stuffed = (rec >= 0.5) & (best / self.size >= 0.12) & (self.per_unit(lone) <= 0.05 * self.size) & (own >= 6)
