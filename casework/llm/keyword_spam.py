@@ -31,16 +31,19 @@ FUNCTION_WORDS = (
     "el los las del que por con una para y su sobre según se no nunca"
 ).split()
 
-_UNIT = re.compile(r"\n+|(?<=[.!?])\s+(?=[\"“(¿¡]?[A-ZÀ-Þ])")
-_LINK = re.compile(r"(?:https?://|www\.)[^\s\"'<>]+|#\w+|</?a\b[^>]*>", re.I)
-_HINT = re.compile(r"://|www\.|#|<a\b", re.I)
-_IDS: dict[str, int] = {}
+_UNIT = re.compile(r"[\n.!?](?:(?<=\n)\n*|\s+(?=[\"“(¿¡]?[A-ZÀ-Þ]))")
+_LINK = re.compile(r"(?:https?://|www\.)[^\s\"'<>]+|#\w+|</?[aA]\b[^>]*>")
+_TOKEN = re.compile(r"[^\W_]+|\0")
+_IDS: dict[str, int] = {"\0": 0}
 
 
 def _id(w: str) -> int:
     """Hash of a word; its lowest bit tells whether the word holds a digit."""
     if len(_IDS) > 500_000:
         _IDS.clear()
+        _IDS["\0"] = 0
+    if w == "\0":
+        return 0
     h = _IDS[w] = (xxhash.xxh64_intdigest(w) & ~1) | (not w.isalpha() and any(c.isdigit() for c in w))
     return h
 
@@ -52,40 +55,50 @@ class Units:
     """Words and features of all units of a batch of texts."""
 
     def __init__(self, texts: list[str | None]):
-        ids, unit, doc_of, linked, n_links = [], [], [], [], []
+        # one flat list of word ids, with a 0 after each unit
+        flat: list[int] = []
+        doc_len, spans, links = [], [], []
         get = _IDS.get
-        u = 0
-        for d, t in enumerate(texts):
-            for s in _UNIT.split(t) if t else ():
-                links = 0
-                parts = ((s, False),)
-                if _HINT.search(s):
-                    parts, at = [], 0
-                    for m in _LINK.finditer(s):
-                        parts += [(s[at : m.start()], False), (m.group(), True)]
-                        at = m.end()
-                        links += m.group()[:2] != "</"
-                    parts.append((s[at:], False))
-                n = 0
-                for p, is_link in parts:
-                    found = WORD.findall(p.lower())
-                    if found:
-                        n += len(found)
-                        for w in found:
-                            ids.append(get(w) or _id(w))
-                        linked.append((len(found), is_link))
-                if n:
-                    unit.append(n)
-                    doc_of.append(d)
-                    n_links.append(links)
-                    u += 1
-        self.n_docs = len(texts)
-        self.ids = np.array(ids, dtype=np.uint64)
-        self.size = np.array(unit, dtype=np.int64)
-        self.doc_of = np.array(doc_of, dtype=np.int64)
-        self.n_links = np.array(n_links, dtype=np.int64)
-        self.in_link = np.repeat([x for _, x in linked], [n for n, _ in linked]).astype(bool) if linked else np.zeros(0, bool)
-        self.unit_of = np.repeat(np.arange(u), self.size)
+        for t in texts:
+            began = len(flat)
+            if t:
+                marked = _UNIT.sub("\0", t)
+                if "://" not in t and "#" not in t and "www." not in t and "<" not in t:
+                    flat.extend([get(w) or _id(w) for w in _TOKEN.findall(marked.lower())])
+                    flat.append(0)
+                else:
+                    for s in marked.split("\0"):
+                        at, n, first = 0, 0, len(flat)
+                        for m in _LINK.finditer(s):
+                            flat.extend([get(w) or _id(w) for w in WORD.findall(s[at : m.start()].lower())])
+                            a = len(flat)
+                            flat.extend([get(w) or _id(w) for w in WORD.findall(m.group().lower())])
+                            spans.append((a, len(flat)))
+                            at = m.end()
+                            n += m.group()[:2] != "</"
+                        flat.extend([get(w) or _id(w) for w in WORD.findall(s[at:].lower())])
+                        if n and len(flat) > first:
+                            links.append((first, n))
+                        flat.append(0)
+            doc_len.append(len(flat) - began)
+        ids = np.array(flat, dtype=np.uint64)
+        keep = ids != 0
+        linked = np.zeros(len(ids) + 1, np.int32)
+        for a, b in spans:
+            linked[a] += 1
+            linked[b] -= 1
+        raw = np.cumsum(~keep)[keep]
+        found, self.unit_of = np.unique(raw, return_inverse=True)
+        doc = np.repeat(np.arange(len(texts)), doc_len)[keep]
+        self.ids = ids[keep]
+        self.size = np.bincount(self.unit_of, minlength=len(found))
+        self.doc_of = np.zeros(len(found), np.int64)
+        self.doc_of[self.unit_of] = doc
+        self.in_link = np.cumsum(linked)[:-1][keep] > 0
+        self.n_links = np.zeros(len(found), np.int64)
+        where = np.cumsum(keep) - 1  # place among the kept
+        for first, n in links:
+            self.n_links[self.unit_of[where[first]]] = n
 
     def per_unit(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.unit_of, weights=x, minlength=len(self.size))
