@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("leakage", "chunking", "mixing", "keyword_spam", "near_dup", "neighbours", "name_variants", "email_text", "personal_data")
+_MODULES = ("leakage", "chunking", "mixing", "keyword_spam", "near_dup", "neighbours", "name_variants", "email_text", "personal_data", "scan_noise")
 
 
 def _gather(attr: str) -> dict:

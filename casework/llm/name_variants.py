@@ -257,7 +257,7 @@ def trie_join(tokens: DataFrame) -> DataFrame:
 
     ``tokens``: token string (distinct), indexed boolean.
     """
-    keys = F.udf(_keys, "array<string>")
+    keys = F.udf(_keys, "array<string>", useArrow=True)
     sharded = tokens.select("token", "indexed", F.explode(keys("token")).alias("shard"))
     return sharded.groupBy("shard").applyInPandas(_walk_shard, "token string, other string, dist int").groupBy("token", "other").agg(
         F.min("dist").alias("dist")
@@ -266,7 +266,7 @@ def trie_join(tokens: DataFrame) -> DataFrame:
 
 def neighbours(tokens: DataFrame) -> DataFrame:
     """As ``trie_join``, as spelled and as sounded: a pair counts with its least distance, 1 if the spelling differs."""
-    heard = F.udf(sound, "string")
+    heard = F.udf(sound, "string", useArrow=True)
     said = cut(tokens.withColumn("s", heard("token")))
     by_sound = trie_join(said.groupBy(F.col("s").alias("token")).agg(F.max("indexed").alias("indexed")))
     alike = (

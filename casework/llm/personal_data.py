@@ -379,7 +379,7 @@ def family_endings(texts: DataFrame) -> dict[str, float]:
                         seen[w][0] += 1
             yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["word", "after", "n"])
 
-    ending = F.udf(lambda w: fold(w)[-3:], "string")
+    ending = F.udf(lambda w: fold(w)[-3:], "string", useArrow=True)
     by_word = texts.mapInPandas(count, "word string, after long, n long").groupBy("word").agg((F.sum("after") / F.sum("n")).alias("p"))
     c = by_word.groupBy(ending("word").alias("ending")).agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("o")).toPandas()
     if not len(c):
