@@ -24,6 +24,8 @@ CONCEPTS = {
 ATTORNEY = r"(?i)@(?:[\w-]+\.)*(?:law|legal|attorney|counsel|lawfirm|esq)\b|\b(?:esquire|esq\.?|attorney at law|counsel)\b"
 LEGAL = r"(?i)\b(?:hereby|pursuant to|in accordance with|notwithstanding|whereas|stipulate|enjoin|adjudicate|memorandum of law|motion to|brief in support|declaration of)\b"
 QUOTED = r"(?im)^[>\|]{1,}\s*|(?:^|\n)-{3,}[^\n]*?(?:forwarded|original)[^\n]*?-{3,}|(?:^|\n)on\s+[^\n]{1,50}?\s+wrote:\s*$|(?:^|\n)from:[^\n]*\nsent:[^\n]*\nto:|\[cid:|<image\d+\."
+#: Patterns of one concept; a pattern that is not listed is a concept of its own.
+CONCEPT_OF = {"EMAIL_HEADER": "EMAIL_COMMUNICATION", "EMAIL_ADDRESS": "EMAIL_COMMUNICATION"}
 COLORS = {"communication": "cyan", "privilege": "magenta", "entity": "yellow", "hotdoc": "red", "responsive": "green"}
 
 
@@ -59,14 +61,14 @@ def _near(signals: Column, start: Column, end: Column, window: int) -> Column:
 
 
 def concept_scores(docs: DataFrame, key: str, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``key``, concept, category, start, end, confidence, needs_refinement of every concept finding.
+    """``key``, rule, concept, category, start, end, confidence, needs_refinement of every concept finding.
 
     The base of the concept, +0.10 for a lawyer within 300 characters, +0.05 for legal phrases within 200, +0.05
     for each (at most 3) kind of other finding within reach of 500, -0.15 for quoted text within 100; at most
     1, at least ``threshold``, which is a floor and drops nothing.  All per document, without a join.
     """
     each = [
-        _tagged(F.col(text), f"(?i){p}", concept=F.lit(k), category=F.lit(cat), base=F.greatest(F.lit(threshold), F.lit(base)))
+        _tagged(F.col(text), f"(?i){p}", rule=F.lit(k), concept=F.lit(CONCEPT_OF.get(k, k)), category=F.lit(cat), base=F.greatest(F.lit(threshold), F.lit(base)))
         for k, (cat, base, p) in CONCEPTS.items()
     ]
     signal = {n: F.coalesce(spans(F.col(text), p), F.expr(_NONE)) for n, p in (("_law", ATTORNEY), ("_legal", LEGAL), ("_quoted", QUOTED))}
@@ -87,7 +89,7 @@ def concept_scores(docs: DataFrame, key: str, text: str = "text", threshold: flo
         + F.when(_near(F.col("_quoted"), s, e, 100), -0.15).otherwise(0.0)
     )
     conf = F.greatest(F.lit(threshold), F.least(F.lit(1.0), total))
-    out = f.select(key, "f.concept", "f.category", "f.start", "f.end", F.round(conf, 6).alias("confidence"))
+    out = f.select(key, "f.rule", "f.concept", "f.category", "f.start", "f.end", F.round(conf, 6).alias("confidence"))
     return out.withColumn("needs_refinement", (F.col("confidence") >= 0.5) & (F.col("confidence") < 0.85))
 
 

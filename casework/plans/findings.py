@@ -120,16 +120,17 @@ _E = spans_sql("p", "path", {"EMAIL": t.EMAIL})
 _CONCEPTS = {k: v[2] for k, v in x.CONCEPTS.items()}
 _BASE = "CASE entity " + " ".join(f"WHEN '{k}' THEN {max(0.5, v[1])}" for k, v in x.CONCEPTS.items()) + " END"
 _CAT = "CASE entity " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in x.CONCEPTS.items()) + " END"
+_CON = "CASE WHEN entity IN ('EMAIL_HEADER', 'EMAIL_ADDRESS') THEN 'EMAIL_COMMUNICATION' ELSE entity END"
 _SCORE = f"""WITH {spans_sql('documents', 'doc_id', _CONCEPTS)},
 {spans_sql('documents', 'doc_id', {'law': x.ATTORNEY, 'legal': x.LEGAL, 'quoted': x.QUOTED}, 's', flag='')},
 n AS (SELECT row_number() OVER () AS id, * FROM f),
-k AS (SELECT a.id, count(DISTINCT b.entity) AS kinds FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.id <> b.id
+k AS (SELECT a.id, count(DISTINCT {_CON.replace("entity", "b.entity")}) AS kinds FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.id <> b.id
   AND b.start >= greatest(0, a.start - 500) - 500 AND b.start <= a."end" + 500 AND b."end" >= greatest(0, a.start - 500) GROUP BY 1),
 g AS (SELECT n.id, coalesce(bool_or(s.entity = 'law' AND s.start <= n."end" + 300 AND s."end" >= n.start - 300), false) AS law,
   coalesce(bool_or(s.entity = 'legal' AND s.start <= n."end" + 200 AND s."end" >= n.start - 200), false) AS legal,
   coalesce(bool_or(s.entity = 'quoted' AND s.start <= n."end" + 100 AND s."end" >= n.start - 100), false) AS quoted
   FROM n LEFT JOIN s ON s.doc_id = n.doc_id GROUP BY 1),
-z AS (SELECT doc_id, entity AS concept, {_CAT} AS category, start, "end", round(greatest(0.5, least(1.0, CAST({_BASE} AS DOUBLE) + CAST(CASE WHEN law THEN 0.10 ELSE 0.0 END AS DOUBLE)
+z AS (SELECT doc_id, entity AS rule, {_CON} AS concept, {_CAT} AS category, start, "end", round(greatest(0.5, least(1.0, CAST({_BASE} AS DOUBLE) + CAST(CASE WHEN law THEN 0.10 ELSE 0.0 END AS DOUBLE)
   + CAST(CASE WHEN legal THEN 0.05 ELSE 0.0 END AS DOUBLE) + 0.05::DOUBLE * least(coalesce(kinds, 0), 3) + CAST(CASE WHEN quoted THEN -0.15 ELSE 0.0 END AS DOUBLE))), 6) AS confidence
   FROM n JOIN g USING (id) LEFT JOIN k USING (id))
 """
