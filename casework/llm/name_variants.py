@@ -44,8 +44,8 @@ NICKNAMES = {
     "jose": "pepe",
     "joseph": "joe joey",
     "josephine": "jo josie josy",
-    "jurgen": "jorg",
-    "katherine": "kate kathy katie kat kitty kay",
+    "jurgen": "jorg jogi",
+    "katherine": "kate kathy katie kat kitty kit kay",
     "leonard": "len leo lenny",
     "margaret": "maggie meg peg peggy marge greta",
     "michael": "mike mick mickey",
@@ -53,7 +53,7 @@ NICKNAMES = {
     "oluwaseun": "seun",
     "patricia": "pat patty trish tricia",
     "priyanka": "priya",
-    "quentin": "quin",
+    "quentin": "quin quen",
     "richard": "rich rick dick",
     "robert": "bob bobby rob robbie bert",
     "samuel": "sam sammy",
@@ -150,6 +150,16 @@ def strip(s: str) -> tuple[str, bool]:
     return t, login
 
 
+def bare(s: str) -> str:
+    """The name without addresses and affiliations."""
+    return re.sub(r"<[^>]*>|\([^)]*\)|\s-\s.*$", " ", s)
+
+
+def roots(s: str) -> list[str]:
+    """The words that make an organisation's name."""
+    return [x for x in tokens_of(bare(s)) if x not in ORG_WORDS and len(x) > 1]
+
+
 def tokens_of(t: str) -> list[str]:
     return re.findall(r"[^\W\d_]+", re.sub(r"(?<=\w)['’](?=\w)", "", fold(t)))
 
@@ -162,7 +172,7 @@ def family_first(t: str) -> tuple[list[str], list[str]] | None:
 
 def given_evidence(s: str) -> tuple[str, str] | None:
     """(given, family) where the form tells which is which: ``Family, Given``, one word each."""
-    if PLACEHOLDER.search(s) or ORG.search(re.sub(r"\([^)]*\)", "", s)):
+    if PLACEHOLDER.search(s) or ORG.search(bare(s)):
         return None
     t, _ = strip(s)
     fg = family_first(t)
@@ -180,9 +190,8 @@ def parse(s: str, known: Trie) -> list[tuple[str, str, str, bool]]:
     """
     if s is None or PLACEHOLDER.search(s):
         return []
-    bare = re.sub(r"<[^>]*>|\([^)]*\)", " ", s)
-    if ORG.search(bare):
-        t = [x for x in tokens_of(bare) if x not in ORG_WORDS and len(x) > 1]
+    if ORG.search(bare(s)):
+        t = roots(s)
         return [("org", "".join(t), "", False)] if t else []
     t, login = strip(s)
     toks = [x for x in tokens_of(t) if x not in TITLES]
@@ -333,6 +342,21 @@ def link_names(names: DataFrame, *, max_given: int = 20_000, strong: int = 3) ->
         .where(F.least("na", "nb") < strong)
         .select("a", "b")
     )
+    # firms of two names: each within one edit, in either order
+    pair = F.udf(lambda n: roots(n) if len(roots(n)) == 2 else None, "array<string>", useArrow=True)
+    firms = cut(full.where("kind = 'org'").groupBy("family").agg(F.min("name").alias("least")).withColumn("r", pair("least")).where("r is not null"))
+    ends = cut(neighbours(firms.select(F.explode("r").alias("token")).distinct().withColumn("indexed", F.lit(True))).select("token", "other"))
+    x = firms.select(F.col("least").alias("a"), F.col("r")[0].alias("a0"), F.col("r")[1].alias("a1"))
+    turned = [firms.select(F.col("least").alias("b"), F.col("r")[i].alias("b0"), F.col("r")[1 - i].alias("b1")) for i in (0, 1)]
+    y = turned[0].unionByName(turned[1])
+    alike = (
+        x.join(ends.select(F.col("token").alias("a0"), F.col("other").alias("b0")), "a0")
+        .join(y, "b0")
+        .join(ends.select(F.col("token").alias("a1"), F.col("other").alias("b1")), ["a1", "b1"])
+        .where("a <> b")
+        .select("a", "b")
+    )
+    same = same.unionByName(alike)
     own = full.join(nodes.select("kind", "family", "given", "least"), ["kind", "family", "given"])
     edges = own.select(F.col("name").alias("a"), F.col("least").alias("b")).unionByName(same)
     # initials and short forms: the full name with the nearest family, then the one with most spellings
