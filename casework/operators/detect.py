@@ -72,7 +72,7 @@ def concept_scores(docs: DataFrame, key: str, text: str = "text", threshold: flo
         for k, (cat, base, p) in CONCEPTS.items()
     ]
     signal = {n: F.coalesce(spans(F.col(text), p), F.expr(_NONE)) for n, p in (("_law", ATTORNEY), ("_legal", LEGAL), ("_quoted", QUOTED))}
-    d = docs.select(key, F.concat(*each).alias("_all"), *[v.alias(n) for n, v in signal.items()]).where("size(_all) > 0")
+    d = docs.select(key, F.concat(*each).alias("_all"), *[v.alias(n) for n, v in signal.items()])
     f = d.select(key, "_all", *signal, F.posexplode("_all").alias("_i", "f"))
     s, e = F.col("f.start"), F.col("f.end")
     lo = F.greatest(F.lit(0), s - 500)
