@@ -6,26 +6,24 @@ numpy ``uint64``; n-gram hashes are Karp-Rabin polynomials over them (mod 2**64)
 
 from __future__ import annotations
 
-import os
 import re
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casework.shared import cut, spread
+
 WORD = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _CACHE: dict[str, int] = {}
 _CACHE_MAX = 500_000
 
-
 def words(text: str | None) -> list[str]:
     """The words of a text; none for null."""
     return WORD.findall(text.lower()) if text else []
 
-
 def word_hashes(tokens: list[str]) -> np.ndarray:
     """64-bit hashes of words.  The per-process cache is emptied when it is full, so memory stays bounded."""
     get = _CACHE.get
@@ -42,7 +40,6 @@ def word_hashes(tokens: list[str]) -> np.ndarray:
                 out[i] = h
     return np.array(out, dtype=np.uint64)
 
-
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Karp-Rabin hashes of every run of ``n`` consecutive hashes; empty when there are fewer."""
     m = len(h) - n + 1
@@ -54,34 +51,14 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
         out += h[j : j + m]
     return out
 
-
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``n`` consecutive words, as ``int64``."""
     return np.unique(rolling(word_hashes(words(text)), n)).view(np.int64)
 
-
-def work_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors: ``spark.checkpoint.dir`` where the cluster names one.
-
-    Only where it is unset (tests, one machine) a folder under the session's warehouse is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
-        spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "casework-work"
-    )
-    return base.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later plans do not recompute it."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/casework-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
+    """A table; texts are spread over all cores where their files give fewer parts than there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in ("documents", "payloads", "dense_docs") else df
 
 def connected(pairs: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """Connected components of the undirected edges (``a``, ``b``): columns ``node``, ``component``.
