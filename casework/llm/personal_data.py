@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm.common import cut, read
+from casework.llm.common import cut, read, spread
 from casework.llm.name_variants import NICKNAMES, fold
 
 GIVEN = frozenset(NICKNAMES) | {n for v in NICKNAMES.values() for n in v.split()} | {"jogi", "quen", "hen"}
@@ -30,6 +30,8 @@ _EMAIL = re.compile(
     rf"\w[\w.+-]*(?:\s?[\[(]\s?at\s?[\])]\s?|\s+at\s+)\w[\w-]*(?:(?:\.|{_DOT})\w[\w-]*)*(?:\.|{_DOT})(?:[a-z]{{2,8}})\b",
     re.I,
 )
+#: Every address holds one of these; only their lines are searched.
+_EMAIL_SIGN = re.compile(r"@|[\[(]\s?at\s?[\])]|\sat\s+\w[\w-]*(?:\.\w|\s?[\[(]?\s?dot\b)", re.I)
 _PHONE = re.compile(
     r"(?<![\w.+$-])(?:"
     r"(?:\+?1[-. ])?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}|"
@@ -213,6 +215,16 @@ def _names(t: str) -> list[tuple[int, int, dict]]:
     return out
 
 
+def _emails(t: str):
+    done = 0
+    for sign in _EMAIL_SIGN.finditer(t):
+        if sign.start() < done:
+            continue
+        a, b = t.rfind("\n", 0, sign.start()) + 1, t.find("\n", sign.end())
+        done = len(t) if b < 0 else b
+        yield from _EMAIL.finditer(t, max(a, sign.start() - 400), done)
+
+
 def candidates(t: str, endings: dict[str, float]) -> list[tuple[str, int, int, list[float], int]]:
     """(type, from, to, features, label) of all proposed spans; label 1 or 0 where certain, else -1."""
     found = []
@@ -238,7 +250,7 @@ def candidates(t: str, endings: dict[str, float]) -> list[tuple[str, int, int, l
         found.append((kind, a, b, x, label(before, s, x) if callable(label) else label))
 
     none = [0.0] * 9
-    for m in _EMAIL.finditer(t):
+    for m in _emails(t):
         spelled = "@" not in m.group()
         last = re.split(r"[^\w]+", m.group())[-1].lower()
         blank = bool(re.search(r"\sat\s", m.group(), re.I)) and spelled
@@ -396,13 +408,22 @@ class Detector:
         self.endings, self.model, self.cut_at = endings, model, cut_at
 
     def spans(self, t: str) -> list[tuple[str, int, int]]:
-        c = candidates(t, self.endings)
-        if not c:
-            return []
+        return self.all_spans([t])[0]
+
+    def all_spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """The spans of each text; the trees see all candidates at once."""
+        each = [candidates(t, self.endings) for t in texts]
+        flat = [x[3] for c in each for x in c]
+        if not flat:
+            return [[] for _ in texts]
         if self.model is None:
-            p = np.array([1.0 if x[4] else 0.0 for x in c])
+            p = np.array([1.0 if x[4] else 0.0 for c in each for x in c])
         else:
-            p = self.model.prob(np.array([x[3] for x in c]))
+            p = self.model.prob(np.array(flat))
+        ends = np.cumsum([len(c) for c in each])
+        return [self._pick(c, p[e - len(c) : e]) for c, e in zip(each, ends)]
+
+    def _pick(self, c, p) -> list[tuple[str, int, int]]:
         kept: list[tuple[str, int, int]] = []
         order = sorted(range(len(c)), key=lambda i: (-round(float(p[i]), 1), -(c[i][2] - c[i][1]), c[i][1], c[i][0]))
         for i in order:
@@ -412,8 +433,8 @@ class Detector:
         return sorted(kept, key=lambda s: s[1])
 
 
-def fit(texts: DataFrame, *, sample: int = 4_000, seed: int = 11) -> Detector:
-    """Fits the detector; at most ``sample`` texts, drawn by hash, give the training candidates."""
+def fit(texts: DataFrame, *, sample: int = 4_000, most: int = 200_000, seed: int = 11) -> Detector:
+    """Fits the detector; at most ``sample`` texts, drawn by hash, give at most ``most`` training candidates."""
     endings = family_endings(texts)
 
     def label(batches):
@@ -421,8 +442,9 @@ def fit(texts: DataFrame, *, sample: int = 4_000, seed: int = 11) -> Detector:
             rows = [(x, k == 1, t) for s in pdf["text"] for t, _, _, x, k in candidates(s, endings) if k >= 0]
             yield pd.DataFrame(rows, columns=["x", "y", "kind"])
 
-    drawn = texts.orderBy(F.xxhash64(F.lit(seed), "text")).limit(sample)
-    rows = drawn.mapInPandas(label, "x array<double>, y boolean, kind string").toPandas()
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    drawn = texts.orderBy(F.xxhash64(F.lit(seed), "text")).limit(sample).repartition(cores)
+    rows = drawn.mapInPandas(label, "x array<double>, y boolean, kind string").limit(most).toPandas()
     if len(rows) < 50 or rows["y"].nunique() < 2:
         return Detector(endings, None, {})
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float)
@@ -451,13 +473,14 @@ def find(payloads: DataFrame, *, sample: int = 4_000) -> DataFrame:
     gives the items of both; other columns are ignored whatever their names; an empty table gives no rows.
     Where there are too few certain candidates to fit trees, the certain ones alone are kept.
     """
-    t = cut(_texts(payloads))
+    t = spread(cut(_texts(payloads)))
     shared = payloads.sparkSession.sparkContext.broadcast(fit(t, sample=sample))
 
     def run(batches):
         det = shared.value
         for pdf in batches:
-            rows = [(p, k, a, b, s[a:b]) for p, s in zip(pdf["path"], pdf["text"]) for k, a, b in det.spans(s)]
+            found = det.all_spans(pdf["text"].tolist())
+            rows = [(p, k, a, b, s[a:b]) for p, s, f in zip(pdf["path"], pdf["text"], found) for k, a, b in f]
             yield pd.DataFrame(rows, columns=["path", "entity", "char_from", "char_to", "text"])
 
     return t.mapInPandas(run, SCHEMA)
@@ -465,16 +488,16 @@ def find(payloads: DataFrame, *, sample: int = 4_000) -> DataFrame:
 
 def redact(payloads: DataFrame, *, sample: int = 4_000) -> DataFrame:
     """path, text with each item replaced by its type in brackets; everything else is kept as it is."""
-    t = cut(_texts(payloads))
+    t = spread(cut(_texts(payloads)))
     shared = payloads.sparkSession.sparkContext.broadcast(fit(t, sample=sample))
 
     def run(batches):
         det = shared.value
         for pdf in batches:
             out = []
-            for s in pdf["text"]:
+            for s, found in zip(pdf["text"], det.all_spans(pdf["text"].tolist())):
                 parts, at = [], 0
-                for k, a, b in det.spans(s):
+                for k, a, b in found:
                     parts += [s[at:a], f"[{k}]"]
                     at = b
                 out.append("".join(parts) + s[at:])
