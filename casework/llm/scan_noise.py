@@ -329,7 +329,7 @@ class Scans:
     ``frequent`` words (with vectors of ``size`` numbers) and the ``shapes`` met in most files.
     """
 
-    def __init__(self, payloads: DataFrame, pages: DataFrame, *, frequent: int = 30_000, shapes: int = 50_000, size: int = 16, ratio: int = 8):
+    def __init__(self, payloads: DataFrame, pages: DataFrame, *, frequent: int = 30_000, shapes: int = 50_000, size: int = 32, ratio: int = 8):
         spark = payloads.sparkSession
         need = pages.where("needs_ocr and path is not null").select("path").distinct().withColumn("s", F.lit(1))
         p = payloads.where("path is not null and length(text) > 0").select("path", "text").dropDuplicates(["path", "text"])
@@ -344,7 +344,7 @@ class Scans:
         sure = words.where("lower > 4 and clean > 0 and not contains(word, '-')").orderBy(F.desc("lower"), "word").limit(frequent).select("word").toPandas()["word"]
         safe = spark.sparkContext.broadcast(frozenset(sure))  # words that no lookup is needed for
         keys = Skeletons(frozenset(glyph_key(w) for w in top if w.isalpha()))
-        vectors = self._learn(self.files, words, set(top), size)
+        vectors = self._learn(self.files, set(top), size)
         # rare words of scanned texts, and the frequent ones with the same key
         key, strange = F.udf(glyph_key, "string", useArrow=True), F.udf(odd, "boolean", useArrow=True)
         alpha = words.where("not contains(word, '-')").withColumn("n", F.col("clean") + F.col("scanned"))
@@ -407,29 +407,19 @@ class Scans:
         self.repair = spark.sparkContext.broadcast(Repair(keys, set(known), vectors))
 
     @staticmethod
-    def _learn(files: DataFrame, words: DataFrame, top: set[str], size: int, keep: float = 1e-4) -> dict[str, np.ndarray]:
-        """Skip-gram vectors of the ``top`` words; places of frequent words are thinned to sqrt(keep / frequency) by hash."""
-        spark = files.sparkSession
-        total = words.agg(F.sum("scanned")).first()[0] or 0
-        often = words.where(F.col("scanned") > keep * total).select("word", "scanned").toPandas()  # at most 1 / keep words
-        rate = spark.sparkContext.broadcast({w: float((keep * total / n) ** 0.5) for w, n in zip(often["word"], often["scanned"])})
-
-        def thinned(batches):
-            get = rate.value.get
+    def _learn(files: DataFrame, top: set[str], size: int) -> dict[str, np.ndarray]:
+        """Skip-gram vectors of the ``top`` words, learned from every place of the scanned texts."""
+
+        def tokens(batches):
             for pdf in batches:
-                out = []
-                for t in pdf["text"]:
-                    toks = [w for w in re.findall(r"[^\W\d_]+", t.lower())]
-                    r = np.random.default_rng(len(t)).random(len(toks))
-                    out.append([w for w, u in zip(toks, r) if u < get(w, 1.0)])
-                yield pd.DataFrame({"words": out})
-
-        sentences = cut(files.mapInPandas(thinned, "words array<string>").where("size(words) > 5"))
+                yield pd.DataFrame({"words": [re.findall(r"[^\W\d_]+", t.lower()) for t in pdf["text"]]})
+
+        sentences = cut(files.mapInPandas(tokens, "words array<string>").where("size(words) > 1"))
         if not sentences.take(1):
             return {}
         parts = max(1, min(64, sentences.rdd.getNumPartitions()))
         try:
-            model = Word2Vec(vectorSize=size, minCount=5, windowSize=3, maxIter=1, numPartitions=parts, seed=5, inputCol="words", outputCol="v").fit(sentences)
+            model = Word2Vec(vectorSize=size, minCount=5, windowSize=4, maxIter=1, numPartitions=parts, seed=5, inputCol="words", outputCol="v").fit(sentences)
         except Exception as e:  # a text too small to hold a frequent word has no vectors
             if "vocabulary size should be > 0" in str(e).lower() or "vocabulary" in str(e).lower():
                 return {}

@@ -163,6 +163,20 @@ def test_scan_empty(spark):
     assert scan_noise.Scans(e, spark.createDataFrame([], "path string, needs_ocr boolean")).text().count() == 0
 
 
+def test_scan_vectors_use_all_places(spark, monkeypatch):
+    seen, real = {}, scan_noise.Word2Vec
+
+    class Kept(real):
+        def fit(self, sentences, *a):
+            seen.update(places=sentences.selectExpr("sum(size(words))").first()[0], size=self.getVectorSize(), window=self.getWindowSize())
+            return super().fit(sentences, *a)
+
+    monkeypatch.setattr(scan_noise, "Word2Vec", Kept)
+    text = " ".join(["the vendor sent the invoice to the clerk"] * 40)
+    scans(spark, [(f"s{k}", text) for k in range(3)] + [("s-short", "the clerk signed")])
+    assert seen == {"places": 3 * 40 * 8 + 3, "size": 32, "window": 4}
+
+
 @pytest.mark.parametrize(("a", "b"), [("vendor", "veridor"), ("clerk", "c1erk"), ("modern", "modem"), ("draft", "clraft"), ("file", "ﬁle"), ("seal", "se@l"), ("was", "vvas"), ("could", "coiild")])
 def test_glyph_key(a, b):
     assert scan_noise.glyph_key(a) == scan_noise.glyph_key(b)
