@@ -1,9 +1,9 @@
 """Noise in text from scanned pages (problem 3).
 
-Method: skip-gram vectors are learned from the scanned texts.  Words that are rare there and never stand in a
-clean text are linked to frequent words with the same glyph key, which takes the usual misreadings for one
-(0/o, 1/l/i, rn/m, cl/d and so on); where several fit, or the link is weak, the vectors of the words around
-decide.  Then furniture (running headers and footers, stamps, page numbers) is removed, words cut at line
+Method: skip-gram vectors are learned from the scanned texts.  Words that are rare there are linked to frequent
+words with the same glyph key, which takes the usual misreadings for one (0/o, 1/l/i, rn/m, cl/d and so on),
+if they never stand in a clean text in the same case, or more seldom, against the linked word, than in scanned
+ones; where several fit, the link is weak, or the word has clean places, the vectors of the words around decide.  Then furniture (running headers and footers, stamps, page numbers) is removed, words cut at line
 ends are joined, and the lines are set as paragraphs.
 """
 
@@ -86,7 +86,7 @@ _SPLIT = re.compile(rf"[{HYPHENS}][^\S\n]*\n")
 
 
 def _count(batches):
-    """word, clean, scanned, lower: places of each word; words cut at a line end are left out."""
+    """word, clean, scanned, lower, clean_lower: places of each word; words cut at a line end are left out."""
     for pdf in batches:
         seen = (Counter(), Counter())
         for t, scanned in zip(pdf["text"], pdf["scanned"]):
@@ -101,11 +101,12 @@ def _count(batches):
         n: dict[str, list[int]] = {}
         for k, counted in enumerate(seen):
             for w, c in counted.items():
-                e = n.setdefault(w.lower(), [0, 0, 0])
+                e = n.setdefault(w.lower(), [0, 0, 0, 0])
                 e[k] += c
                 if w[0].islower():
                     e[2] += c
-        yield pd.DataFrame([(k, *v) for k, v in n.items()], columns=["word", "clean", "scanned", "lower"])
+                    e[3] += c * (k == 0)
+        yield pd.DataFrame([(k, *v) for k, v in n.items()], columns=["word", "clean", "scanned", "lower", "clean_lower"])
 
 
 class Skeletons:
@@ -175,8 +176,9 @@ def recurring(lines: list[str]) -> set[int]:
 class Repair:
     """What the corpus has taught, and the repair of a text by it.  Small enough to be broadcast."""
 
-    def __init__(self, skeletons: Skeletons, known: set[str], vectors: dict[str, np.ndarray], floor: float = -0.2):
-        self.skeletons, self.known, self.vectors, self.floor = skeletons, known, vectors, floor
+    def __init__(self, skeletons: Skeletons, known: set[str], vectors: dict[str, np.ndarray], mean: np.ndarray | None = None, floor: float = -0.2):
+        """``mean``: what stands around an average place."""
+        self.skeletons, self.known, self.vectors, self.mean, self.floor = skeletons, known, vectors, mean, floor
 
     def furniture(self, lines: list[str]) -> list[str]:
         again = recurring(lines)
@@ -207,13 +209,15 @@ class Repair:
             j -= 1
         return j >= 0 and not re.search(r"[.?!:;][\"'”)]*\s*$", lines[j]) and not _HEADING.match(lines[j])
 
-    def accepts(self, word: str, options: list[tuple[str, int]], around: list[str]) -> str | None:
-        """The word meant by a rare one, in its context."""
+    def accepts(self, word: str, options: list[tuple[str, int, bool]], around: list[str]) -> str | None:
+        """The word meant by a rare one, in its context; an option that isn't sure needs a context nearer to it than the mean."""
         if not options:
             return None
         ctx = [self.vectors[w] for w in around if w in self.vectors]
         best, score = None, -9.0
-        for cand, n in options:
+        for cand, n, sure in options:
+            if not sure and not (ctx and cand in self.vectors and self.mean is not None and self.vectors[cand] @ np.mean(ctx, 0) > self.vectors[cand] @ self.mean):
+                continue
             s = 0.12 * np.log(n)
             if ctx and cand in self.vectors:
                 sim = float(self.vectors[cand] @ np.mean(ctx, 0))
@@ -224,7 +228,7 @@ class Repair:
                 best, score = cand, s
         return best
 
-    def read(self, text: str, fixes: dict[str, list[tuple[str, int]]], compounds: dict[str, bool]):
+    def read(self, text: str, fixes: dict[str, list[tuple[str, int, bool | None, bool | None]]], compounds: dict[str, bool]):
         """lines, kinds per line (a set), replacements per line [(start, end, word)], joins {line: next line}."""
         lines = lines_of(text)
         kinds: list[set[str]] = [set() for _ in lines]
@@ -249,7 +253,7 @@ class Repair:
                         kinds[i].add("hyphen")
                         joins[i] = j
                         whole = (w + v).lower()
-                        m = self._meant(whole, fixes, toks, body, k)
+                        m = self._meant(whole, w[0].islower(), fixes, toks, body, k)
                         if m:
                             same = next((x for x, (c, e) in enumerate(zip(whole, m)) if c != e), len(whole))
                             kinds[i if same < len(w) else j].add("misread")
@@ -260,18 +264,19 @@ class Repair:
             for a, w in toks[i]:
                 if (w.isalpha() and w.lower() not in fixes) or (i, a) in skip:
                     continue
-                m = self._meant(w.lower(), fixes, toks, body, k)
+                m = self._meant(w.lower(), w[0].islower(), fixes, toks, body, k)
                 if m is not None:
                     kinds[i].add("misread")
                     edits.setdefault(i, []).append((a, a + len(w), _like(w, m)))
         return lines, kinds, edits, joins
 
-    def _meant(self, w, fixes, toks, body, k) -> str | None:
+    def _meant(self, w, lower, fixes, toks, body, k) -> str | None:
         opts = fixes.get(w)
         if opts is None:
             if not odd(w):
                 return None
             return _digits(w) if _DIGITS.match(w) and sum(c.isdigit() for c in w) * 2 >= len(w) else w
+        opts = [(m, n, sure) for m, n, lo, up in opts if (sure := lo if lower else up) is not None]
         if odd(w) and not opts:
             return w
         around = [x.lower() for i in body[max(0, k - 1) : k + 2] for _, x in toks[i] if x.lower() != w]
@@ -336,22 +341,30 @@ class Scans:
         t = spread(cut(p.join(need, "path", "left").select("path", "text", F.coalesce("s", F.lit(0)).alias("scanned"))))
         self.files = t.where("scanned = 1").select("path", "text")
         words = cut(
-            t.mapInPandas(_count, "word string, clean long, scanned long, lower long")
+            t.mapInPandas(_count, "word string, clean long, scanned long, lower long, clean_lower long")
             .groupBy("word")
-            .agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"), F.sum("lower").alias("lower"))
+            .agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"), F.sum("lower").alias("lower"), F.sum("clean_lower").alias("clean_lower"))
         )
-        top = words.where("lower > 4 and not contains(word, '-')").orderBy(F.desc("lower"), "word").limit(frequent).select("word").toPandas()["word"]
-        sure = words.where("lower > 4 and clean > 0 and not contains(word, '-')").orderBy(F.desc("lower"), "word").limit(frequent).select("word").toPandas()["word"]
-        safe = spark.sparkContext.broadcast(frozenset(sure))  # words that no lookup is needed for
+        top = words.where("lower > 4 and not contains(word, '-')").orderBy(F.desc("lower"), "word").limit(frequent).select("word", "scanned").toPandas()
+        usual, top = dict(zip(top["word"], top["scanned"])), top["word"]
         keys = Skeletons(frozenset(glyph_key(w) for w in top if w.isalpha()))
         vectors = self._learn(self.files, set(top), size)
         # rare words of scanned texts, and the frequent ones with the same key
         key, strange = F.udf(glyph_key, "string", useArrow=True), F.udf(odd, "boolean", useArrow=True)
         alpha = words.where("not contains(word, '-')").withColumn("n", F.col("clean") + F.col("scanned"))
-        rare = alpha.where("clean = 0 and (length(word) > 1)").select("word", F.col("scanned").alias("m"), key("word").alias("k"))
-        often = alpha.where(~strange("word") & F.col("n").between(4, 1 << 60) & F.col("word").rlike(r"^[\p{L}'’]+$")).select(F.col("word").alias("meant"), "n", key("word").alias("k"))
+        by_case = [F.col("clean_lower").alias("cl"), (F.col("lower") - F.col("clean_lower")).alias("sl"), (F.col("clean") - F.col("clean_lower")).alias("cu"), (F.col("scanned") - F.col("lower") + F.col("clean_lower")).alias("su")]
+        rare = alpha.where("scanned > 0 and length(word) > 1").select("word", "clean", F.col("scanned").alias("m"), *by_case, key("word").alias("k"))
+        often = alpha.where(~strange("word") & F.col("n").between(4, 1 << 60) & F.col("word").rlike(r"^[\p{L}'’]+$")).select(
+            F.col("word").alias("meant"), "n", *[c.alias(f"of_{x}") for c, x in zip(by_case, ("cl", "sl", "cu", "su"))], key("word").alias("k")
+        )
         link = rare.join(often, "k").where((F.col("word") != F.col("meant")) & (F.col("n") >= ratio * F.col("m")))
-        fixes = link.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "meant")), False), 1, 8).alias("o"))
+        # true: the word has no clean place in this case; false: fewer than the linked word's rate lets expect; null: no candidate
+        for x, kind in (("l", "lo"), ("u", "up")):
+            link = link.withColumn(kind, F.expr(f"case when clean = 0 then true when s{x} = 0 or of_c{x} + of_s{x} < {ratio} * s{x} then null when c{x} = 0 then true when c{x} * of_s{x} < s{x} * of_c{x} then false end"))
+        link = link.where("lo is not null or up is not null")
+        fixes = cut(link.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "meant", "lo", "up")), False), 1, 8).alias("o")))
+        sure = words.where("lower > 4 and clean > 0 and not contains(word, '-')").join(fixes, "word", "left_anti").orderBy(F.desc("lower"), "word").limit(frequent).select("word").toPandas()["word"]
+        safe = spark.sparkContext.broadcast(frozenset(sure))  # words that no lookup is needed for
         # compounds written with a hyphen, against the same letters written without
         whole = words.where("contains(word, '-')").select(F.col("word").alias("c"), (F.col("clean") + F.col("scanned")).alias("with"), F.regexp_replace("word", "-", "").alias("j"))
         comp = whole.join(alpha.select(F.col("word").alias("j"), F.col("n").alias("without")), "j", "left").select(
@@ -378,7 +391,7 @@ class Scans:
 
         asked = self.files.mapInPandas(used, "path string, word string").distinct()
         mine = (
-            asked.join(fixes.select("word", "o", F.lit(None).cast("boolean").alias("plain")).unionByName(comp.select("word", F.lit(None).cast("array<struct<n:bigint,meant:string>>").alias("o"), "plain")), "word")
+            asked.join(fixes.select("word", "o", F.lit(None).cast("boolean").alias("plain")).unionByName(comp.select("word", F.lit(None).cast("array<struct<n:bigint,meant:string,lo:boolean,up:boolean>>").alias("o"), "plain")), "word")
             .groupBy("path")
             .agg(F.collect_list(F.struct("word", "o", "plain")).alias("known"))
         )
@@ -404,7 +417,8 @@ class Scans:
             .limit(shapes)
             .toPandas()["shape"]
         )
-        self.repair = spark.sparkContext.broadcast(Repair(keys, set(known), vectors))
+        mean = np.sum([usual[w] * v for w, v in vectors.items()], 0) / max(1, sum(usual[w] for w in vectors)) if vectors else None
+        self.repair = spark.sparkContext.broadcast(Repair(keys, set(known), vectors, mean))
 
     @staticmethod
     def _learn(files: DataFrame, top: set[str], size: int) -> dict[str, np.ndarray]:
@@ -444,7 +458,7 @@ class Scans:
                     fixes, comp = {}, {}
                     for e in known if known is not None else ():
                         if e["o"] is not None:
-                            fixes[e["word"]] = [(x["meant"], x["n"]) for x in e["o"]]
+                            fixes[e["word"]] = [(x["meant"], x["n"], x["lo"], x["up"]) for x in e["o"]]
                         else:
                             comp[e["word"]] = bool(e["plain"])
                     rows += row(path, *rep.read(text, fixes, comp))

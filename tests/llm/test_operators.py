@@ -177,6 +177,27 @@ def test_scan_vectors_use_all_places(spark, monkeypatch):
     assert seen == {"places": 3 * 40 * 8 + 3, "size": 32, "window": 4}
 
 
+def test_scan_word_with_clean_places(spark):
+    body = "\n".join(["the clerk supports the claim of the vendor raised by the office", "please hold the device until the manager agrees to it"] * 10)
+    bad = "the clerk supports the daim of the vendor raised by the office"
+    files = [(f"s{k}", body + "\n" + bad + "\nplease hold Daim 788 until the manager agrees") for k in range(4)]
+    clean = [(f"c{k}", body) for k in range(4)]
+    # another case: the lower-case word is repaired, the name is not
+    got = scans(spark, files + clean + [("c-odd", "please hold Daim 788 until the manager agrees")])
+    assert {(r["path"], r["line_no"]) for r in got.marks().where("kind = 'misread'").collect()} == {(f"s{k}", 21) for k in range(4)}
+    # one clean place against the rate of 'claim': still a candidate, for the context to decide
+    known = scans(spark, files + clean + [("c-odd", "daim")]).work.where("path = 's1'").first()["known"]
+    assert [(x["meant"], x["lo"]) for e in known if e["word"] == "daim" for x in e["o"]] == [("claim", False)]
+
+
+def test_scan_context_decides():
+    v = {"claim": np.array([1.0, 0.0]), "raised": np.array([0.9, 0.1]), "device": np.array([-0.5, 0.8])}
+    rep = scan_noise.Repair(scan_noise.Skeletons(frozenset()), set(), v, np.array([0.3, 0.3]))
+    assert rep.accepts("daim", [("claim", 80, False)], ["raised"]) == "claim"
+    assert rep.accepts("daim", [("claim", 80, False)], ["device"]) is None and rep.accepts("daim", [("claim", 80, False)], []) is None
+    assert rep.accepts("daim", [("claim", 80, True)], ["device"]) == "claim"
+
+
 @pytest.mark.parametrize(("a", "b"), [("vendor", "veridor"), ("clerk", "c1erk"), ("modern", "modem"), ("draft", "clraft"), ("file", "ﬁle"), ("seal", "se@l"), ("was", "vvas"), ("could", "coiild")])
 def test_glyph_key(a, b):
     assert scan_noise.glyph_key(a) == scan_noise.glyph_key(b)
