@@ -248,11 +248,14 @@ def parse(s: str, known: Trie) -> list[tuple[str, str, str, bool]]:
 
 
 def _keys(t: str) -> list[str]:
-    """Shards of a token: one edit leaves either the first or the last three letters of a name alone."""
+    """Shards of a token: one edit leaves the first or the last letters of a name alone, three of eight or more, two of fewer,
+    one of up to four; of tokens of up to two it may leave none alone, so these have a shard of their own."""
     k = 3 if len(t) >= 8 else 2
     # neighbours of the length next to the change of ``k`` must meet
     ks = {3, 2} if len(t) in (7, 8) else {k}
-    return sorted({f"{x}<{t[:x]}" for x in ks} | {f"{x}>{t[-x:]}" for x in ks})
+    if len(t) <= 4:
+        ks |= {1}
+    return sorted({f"{x}<{t[:x]}" for x in ks} | {f"{x}>{t[-x:]}" for x in ks} | ({"short"} if len(t) <= 2 else set()))
 
 
 def _walk_shard(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -265,6 +265,15 @@ def test_shards_meet():
         assert set(name_variants._keys(t)) & set(name_variants._keys(u)), (t, u)
 
 
+def test_short_shards_meet():
+    """All pairs of up to five letters that are one edit apart share a shard."""
+    every = ["".join(x) for n in range(1, 6) for x in itertools.product("abc", repeat=n)]
+    trie, keys = name_variants.Trie(every), {t: set(name_variants._keys(t)) for t in every}
+    assert not [(t, o) for t in every for o in trie.within_one(t) if not keys[t] & keys[o]]
+    for a, b in (("lee", "lie"), ("abcd", "acbd"), ("ab", "ba")):
+        assert set(name_variants._keys(a)) & set(name_variants._keys(b))
+
+
 def test_names_linked(spark):
     same = ["Robert Kranpikakin", "Kranpikakin, Robert", "bob_kranpikakin", "R. Kranpikakin", "KRANPIKAKIN ROBERT", "Robert B. Kranpikaikn", "kranpikakinr", "Kranpikakin, Robert (IP group)", '"Kranpikakin, Robert" <r@x.test>']
     other = ["Ines Kranpikakin", "Valtakerin, Ines", "Robert Valtakerin"]
