@@ -3,8 +3,14 @@
 Method: skip-gram vectors are learned from the scanned texts.  Words that are rare there are linked to frequent
 words with the same glyph key, which takes the usual misreadings for one (0/o, 1/l/i, rn/m, cl/d and so on),
 if they never stand in a clean text in the same case, or more seldom, against the linked word, than in scanned
-ones; where several fit, the link is weak, or the word has clean places, the vectors of the words around decide.  Then furniture (running headers and footers, stamps, page numbers) is removed, words cut at line
-ends are joined, and the lines are set as paragraphs.
+ones; where several fit, the link is weak, or the word has clean places, the vectors of the words around decide.
+Then furniture (running headers and footers, stamps, page numbers) is removed, words cut at line ends are
+joined, and the lines are set as paragraphs.
+
+The vectors maximise the skip-gram objective with negative sampling over every place of the scanned texts.
+The places are counted per pair of words first, so a place costs a count and not a gradient step; then
+the two sets of vectors are solved for in turns, each word by Newton steps on its own counts, which every task
+can do for its words alone.  Nothing depends on how the rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +22,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,21 +88,47 @@ def _ends_cut(line: str) -> bool:
 
 
 _SPLIT = re.compile(rf"[{HYPHENS}][^\S\n]*\n")
+WINDOW = 4
+NOISE = 256  # words drawn for the negative side
+NEGATIVES = 5
+
+
+def _without_ends(t: str) -> str:
+    """The text without the words that are cut at line ends."""
+    parts = _SPLIT.split(t)
+    for i, part in enumerate(parts):
+        if i and (m := _TOKEN.search(part)):
+            part = part[: m.start()] + part[m.end() :]
+        if i + 1 < len(parts) and part:
+            at = max(part.rfind(" "), part.rfind("\n"), part.rfind("\t")) + 1
+            last = None
+            for last in _TOKEN.finditer(part, at):
+                pass
+            part = part[: last.start()] if last else part
+        parts[i] = part
+    return " ".join(parts)
 
 
 def _count(batches):
     """word, clean, scanned, lower, clean_lower: places of each word; words cut at a line end are left out."""
     for pdf in batches:
-        seen = (Counter(), Counter())
+        chunks = (Counter(), Counter())  # between blanks; no token goes beyond one
         for t, scanned in zip(pdf["text"], pdf["scanned"]):
-            if "@" in t or "://" in t or "www." in t:
-                t = _ADDRESS.sub(" ", t)
-            parts = _SPLIT.split(t)
-            for i, part in enumerate(parts):
-                tok = _TOKEN.findall(part)
-                seen[scanned].update(tok[i > 0 : len(tok) - (i + 1 < len(parts))])
-            if "-" in t:
-                seen[scanned].update(_COMPOUND.findall(" ".join([w for part in parts for w in part.split() if "-" in w])))
+            chunks[scanned].update(_without_ends(t).split())
+        seen = (Counter(), Counter())
+        for k, counted in enumerate(chunks):
+            add = seen[k]
+            for x, c in counted.items():
+                if "@" in x or "://" in x or "www." in x:
+                    x = _ADDRESS.sub(" ", x)
+                if x.isalpha():
+                    add[x] += c
+                    continue
+                for w in _TOKEN.findall(x):
+                    add[w] += c
+                if "-" in x:
+                    for w in _COMPOUND.findall(x):
+                        add[w] += c
         n: dict[str, list[int]] = {}
         for k, counted in enumerate(seen):
             for w, c in counted.items():
@@ -109,6 +140,122 @@ def _count(batches):
         yield pd.DataFrame([(k, *v) for k, v in n.items()], columns=["word", "clean", "scanned", "lower", "clean_lower"])
 
 
+def _pairs(index: dict[str, int]):
+    """word, c, n: how often the context word ``c`` stands within ``WINDOW`` places of ``word``, over every place of a batch."""
+    word = re.compile(r"[^\W\d_]+")
+    width = max(1, len(index))
+
+    def run(batches):
+        for pdf in batches:
+            ids: dict[str, int] = {}
+            at, known = [], []
+            for t in pdf["text"]:
+                w = word.findall(t.lower())
+                at += [ids.setdefault(x, len(ids)) for x in w] + [-1] * WINDOW  # no window reaches into the next text
+                known += [index.get(x, -1) for x in w] + [-1] * WINDOW
+            a, c = np.array(at, np.int64), np.array(known, np.int64)
+            codes = []
+            for o in range(1, min(WINDOW + 1, len(a))):
+                for x, y in ((a[o:], c[:-o]), (a[:-o], c[o:])):
+                    k = (x >= 0) & (y >= 0)
+                    codes.append(x[k] * width + y[k])
+            code, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
+            names = np.array(list(ids), dtype=object)
+            yield pd.DataFrame({"word": names[code // width] if len(code) else [], "c": code % width, "n": n})
+
+    return run
+
+
+def _solve(cs: list, ns: list, to: np.ndarray, noise: np.ndarray, steps: int = 2) -> np.ndarray:
+    """The vectors of words whose contexts are the rows ``cs`` of ``to``, ``ns`` times each: Newton steps on the skip-gram objective."""
+    size = to.shape[1]
+    out = np.zeros((len(cs), size))
+    ends = np.cumsum([len(c) for c in cs])
+    first = 0
+    while first < len(cs):  # as many words at once as have some 100,000 pairs
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 100_000)))
+        c, n = np.concatenate(cs[first:last]), np.concatenate(ns[first:last]).astype(np.float64)
+        lengths = np.array([len(x) for x in cs[first:last]])
+        cut_at = np.concatenate(([0], np.cumsum(lengths)))
+        total = np.add.reduceat(n, cut_at[:-1])
+        scale = np.minimum(1.0, 200 / total)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        x, weight = to[c], n * scale[owner]
+        against = (NEGATIVES * total * scale / len(noise))[:, None]
+        w = np.zeros((len(lengths), size))
+        hess = np.empty((len(lengths), size, size))
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(np.einsum("ed,ed->e", x, w[owner]), -20, 20)))
+            q = 1 / (1 + np.exp(-np.clip(w @ noise.T, -20, 20)))
+            grad = np.add.reduceat(x * (weight * (1 - p))[:, None], cut_at[:-1]) - (against * q) @ noise - w
+            bent = x * (weight * p * (1 - p))[:, None]
+            for i, (a, b) in enumerate(zip(cut_at, cut_at[1:])):
+                hess[i] = bent[a:b].T @ x[a:b]
+            outer = (noise[:, :, None] * noise[:, None, :]).reshape(len(noise), -1)
+            hess += ((against * q * (1 - q)) @ outer).reshape(-1, size, size) + np.eye(size)
+            w = w + np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
+        out[first:last] = w
+        first = last
+    return out
+
+
+class Vectors:
+    """Skip-gram vectors of words in ``files`` (column text).
+
+    ``index``: the context words and their places; ``self.top``: word -> unit vector of those; ``of``: the vectors of
+    any other words.  At the driver are two matrices of one row per context word.
+    """
+
+    def __init__(self, files: DataFrame, index: dict[str, int], size: int, *, rounds: int = 2, seed: int = 5):
+        spark = files.sparkSession
+        shared = spark.sparkContext.broadcast(index)
+        rows = files.mapInPandas(_pairs(index), "word string, c int, n long").groupBy("word", "c").agg(F.sum("n").alias("n"))
+        rows = rows.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("p"), F.sum("n").alias("total"))
+        place = F.udf(lambda w: shared.value.get(w), "int", useArrow=True)
+        self.rows = cut(rows.select(place("word").alias("i"), "word", F.col("p.c").alias("c"), F.col("p.n").alias("n"), "total"))
+        mine = self.rows.where("i is not null")
+        self.to = np.random.default_rng(seed).normal(0, 0.3, (len(index), size))
+        self.top: dict[str, np.ndarray] = {}
+        share = np.zeros(len(index))
+        for r in mine.select("i", "total").toPandas().itertuples():
+            share[r.i] = r.total**0.75
+        self.draw = np.random.default_rng(seed).choice(len(index), NOISE, p=share / share.sum()) if share.any() else None
+        if self.draw is None:
+            return
+        for _ in range(rounds):
+            into = self._turn(mine, self.to)
+            self.to = self._turn(mine, into)
+        w = self._turn(mine, self.to)
+        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
+        self.top = {x: w[i].astype(np.float32) for x, i in index.items() if share[i]}
+
+    def _turn(self, mine: DataFrame, to: np.ndarray) -> np.ndarray:
+        """One set of vectors of the context words, solved against the other."""
+        out = np.zeros_like(to)
+        for r in self._solved(mine, to, "i", "int").toPandas().itertuples():
+            out[r.i] = r.vec
+        return out
+
+    def of(self, words: DataFrame) -> DataFrame:
+        """word, vec (unit length) of the distinct ``words`` (column word) that have places in the files."""
+        if self.draw is None:
+            return words.select("word", F.lit(None).cast("array<double>").alias("vec")).limit(0)
+        rows = self.rows.join(words, "word")
+        unit = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)) + F.lit(1e-9)
+        return self._solved(rows, self.to, "word", "string").withColumn("norm", unit).select("word", F.expr("transform(vec, x -> x / norm)").alias("vec"))
+
+    def _solved(self, rows: DataFrame, to: np.ndarray, key: str, kind: str) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast((to, self.draw))
+
+        def run(batches):
+            to, draw = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    yield pd.DataFrame({key: pdf[key], "vec": list(_solve(pdf["c"].tolist(), pdf["n"].tolist(), to, to[draw]))})
+
+        return rows.select(key, "c", "n").mapInPandas(run, f"{key} {kind}, vec array<double>")
+
+
 class Skeletons:
     """Shapes of furniture lines: frequent words by their glyph key, other words and numbers as a sign."""
 
@@ -177,10 +324,11 @@ class Repair:
     """What the corpus has taught, and the repair of a text by it.  Small enough to be broadcast."""
 
     def __init__(self, skeletons: Skeletons, known: set[str], vectors: dict[str, np.ndarray], mean: np.ndarray | None = None, floor: float = -0.2):
-        """``mean``: what stands around an average place."""
+        """``mean``: what stands around an average place.  ``known``: shapes of furniture, for texts that come without their own."""
         self.skeletons, self.known, self.vectors, self.mean, self.floor = skeletons, known, vectors, mean, floor
 
-    def furniture(self, lines: list[str]) -> list[str]:
+    def furniture(self, lines: list[str], known: set[str] | None = None) -> list[str]:
+        known = self.known if known is None else known
         again = recurring(lines)
         cutting = {_own_key(split_number(lines[i])[0]) for i in again if self._apart(lines, i)}
         out = [""] * len(lines)
@@ -194,7 +342,7 @@ class Repair:
             elif _shape(x):
                 s, numbered = split_number(x)
                 k = self.skeletons.of(s)
-                if (k in self.known and (numbered or not _OPEN.search(s))) or numbered or (i in again and _own_key(s) in cutting):
+                if (k in known and (numbered or not _OPEN.search(s))) or numbered or (i in again and _own_key(s) in cutting):
                     out[i] = "header"
         return out
 
@@ -209,18 +357,22 @@ class Repair:
             j -= 1
         return j >= 0 and not re.search(r"[.?!:;][\"'”)]*\s*$", lines[j]) and not _HEADING.match(lines[j])
 
-    def accepts(self, word: str, options: list[tuple[str, int, bool]], around: list[str]) -> str | None:
-        """The word meant by a rare one, in its context; an option that isn't sure needs a context nearer to it than the mean."""
+    def accepts(self, word: str, options: list[tuple], around: list[str]) -> str | None:
+        """The word meant by a rare one, in its context; an option that isn't sure needs a context nearer to it than the mean.
+
+        An option is (word, places, sure) with, where it is none of the context words, its vector.
+        """
         if not options:
             return None
         ctx = [self.vectors[w] for w in around if w in self.vectors]
         best, score = None, -9.0
-        for cand, n, sure in options:
-            if not sure and not (ctx and cand in self.vectors and self.mean is not None and self.vectors[cand] @ np.mean(ctx, 0) > self.vectors[cand] @ self.mean):
+        for cand, n, sure, *own in options:
+            v = own[0] if own and own[0] is not None else self.vectors.get(cand)
+            if not sure and not (ctx and v is not None and self.mean is not None and v @ np.mean(ctx, 0) > v @ self.mean):
                 continue
             s = 0.12 * np.log(n)
-            if ctx and cand in self.vectors:
-                sim = float(self.vectors[cand] @ np.mean(ctx, 0))
+            if ctx and v is not None:
+                sim = float(v @ np.mean(ctx, 0))
                 if sim < self.floor and len(ctx) >= 4 and len(word) < 5 and word.isalpha():
                     continue
                 s += sim
@@ -228,11 +380,11 @@ class Repair:
                 best, score = cand, s
         return best
 
-    def read(self, text: str, fixes: dict[str, list[tuple[str, int, bool | None, bool | None]]], compounds: dict[str, bool]):
+    def read(self, text: str, fixes: dict[str, list[tuple]], compounds: dict[str, bool], known: set[str] | None = None):
         """lines, kinds per line (a set), replacements per line [(start, end, word)], joins {line: next line}."""
         lines = lines_of(text)
         kinds: list[set[str]] = [set() for _ in lines]
-        for i, k in enumerate(self.furniture(lines)):
+        for i, k in enumerate(self.furniture(lines, known)):
             if k:
                 kinds[i].add(k)
         body = [i for i, x in enumerate(lines) if x.strip() and not kinds[i]]
@@ -276,7 +428,7 @@ class Repair:
             if not odd(w):
                 return None
             return _digits(w) if _DIGITS.match(w) and sum(c.isdigit() for c in w) * 2 >= len(w) else w
-        opts = [(m, n, sure) for m, n, lo, up in opts if (sure := lo if lower else up) is not None]
+        opts = [(m, n, sure, *own) for m, n, lo, up, *own in opts if (sure := lo if lower else up) is not None]
         if odd(w) and not opts:
             return w
         around = [x.lower() for i in body[max(0, k - 1) : k + 2] for _, x in toks[i] if x.lower() != w]
@@ -330,11 +482,12 @@ class Scans:
 
     Rows with a null path or text take no part; repeated rows count once; a path with two texts has the lines
     of both; other columns are ignored whatever their names; empty tables give no rows.  The word counts, the
-    candidate links and the shapes of furniture cover all texts.  What is broadcast is bounded: the
-    ``frequent`` words (with vectors of ``size`` numbers) and the ``shapes`` met in most files.
+    vectors, the candidate links and the shapes of furniture cover all texts; words and shapes reach the
+    files by joins.  Only the ``frequent`` most frequent words serve as contexts (vectors of ``size`` numbers) and
+    in shapes, and are broadcast.
     """
 
-    def __init__(self, payloads: DataFrame, pages: DataFrame, *, frequent: int = 30_000, shapes: int = 50_000, size: int = 32, ratio: int = 8):
+    def __init__(self, payloads: DataFrame, pages: DataFrame, *, frequent: int = 30_000, size: int = 32, ratio: int = 8):
         spark = payloads.sparkSession
         need = pages.where("needs_ocr and path is not null").select("path").distinct().withColumn("s", F.lit(1))
         p = payloads.where("path is not null and length(text) > 0").select("path", "text").dropDuplicates(["path", "text"])
@@ -346,105 +499,86 @@ class Scans:
             .agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"), F.sum("lower").alias("lower"), F.sum("clean_lower").alias("clean_lower"))
         )
         top = words.where("lower > 4 and not contains(word, '-')").orderBy(F.desc("lower"), "word").limit(frequent).select("word", "scanned").toPandas()
-        usual, top = dict(zip(top["word"], top["scanned"])), top["word"]
-        keys = Skeletons(frozenset(glyph_key(w) for w in top if w.isalpha()))
-        vectors = self._learn(self.files, set(top), size)
+        usual = dict(zip(top["word"], top["scanned"]))
+        keys = Skeletons(frozenset(glyph_key(w) for w in usual if w.isalpha()))
+        vectors = Vectors(self.files, {w: i for i, w in enumerate(x for x in usual if x.isalpha())}, size)
         # rare words of scanned texts, and the frequent ones with the same key
         key, strange = F.udf(glyph_key, "string", useArrow=True), F.udf(odd, "boolean", useArrow=True)
         alpha = words.where("not contains(word, '-')").withColumn("n", F.col("clean") + F.col("scanned"))
         by_case = [F.col("clean_lower").alias("cl"), (F.col("lower") - F.col("clean_lower")).alias("sl"), (F.col("clean") - F.col("clean_lower")).alias("cu"), (F.col("scanned") - F.col("lower") + F.col("clean_lower")).alias("su")]
         rare = alpha.where("scanned > 0 and length(word) > 1").select("word", "clean", F.col("scanned").alias("m"), *by_case, key("word").alias("k"))
-        often = alpha.where(~strange("word") & F.col("n").between(4, 1 << 60) & F.col("word").rlike(r"^[\p{L}'’]+$")).select(
+        often = alpha.where(F.col("n").between(4, 1 << 60) & F.col("word").rlike(r"^[\p{L}'’]+$")).where(~strange("word")).select(
             F.col("word").alias("meant"), "n", *[c.alias(f"of_{x}") for c, x in zip(by_case, ("cl", "sl", "cu", "su"))], key("word").alias("k")
         )
         link = rare.join(often, "k").where((F.col("word") != F.col("meant")) & (F.col("n") >= ratio * F.col("m")))
         # true: the word has no clean place in this case; false: fewer than the linked word's rate lets expect; null: no candidate
         for x, kind in (("l", "lo"), ("u", "up")):
             link = link.withColumn(kind, F.expr(f"case when clean = 0 then true when s{x} = 0 or of_c{x} + of_s{x} < {ratio} * s{x} then null when c{x} = 0 then true when c{x} * of_s{x} < s{x} * of_c{x} then false end"))
-        link = link.where("lo is not null or up is not null")
-        fixes = cut(link.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "meant", "lo", "up")), False), 1, 8).alias("o")))
+        link = link.where("lo is not null or up is not null").select("word", "meant", "n", "lo", "up")
+        link = cut(link)
+        meant = link.select(F.col("meant").alias("word")).distinct()
+        link = link.join(vectors.of(meant).withColumnRenamed("word", "meant"), "meant", "left")
+        fixes = cut(link.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("n", "meant", "lo", "up", "vec")), False).alias("o")))
         sure = words.where("lower > 4 and clean > 0 and not contains(word, '-')").join(fixes, "word", "left_anti").orderBy(F.desc("lower"), "word").limit(frequent).select("word").toPandas()["word"]
-        safe = spark.sparkContext.broadcast(frozenset(sure))  # words that no lookup is needed for
+        safe = spark.sparkContext.broadcast(frozenset(sure))  # words that need no lookup; all others are looked up
         # compounds written with a hyphen, against the same letters written without
         whole = words.where("contains(word, '-')").select(F.col("word").alias("c"), (F.col("clean") + F.col("scanned")).alias("with"), F.regexp_replace("word", "-", "").alias("j"))
         comp = whole.join(alpha.select(F.col("word").alias("j"), F.col("n").alias("without")), "j", "left").select(
             F.col("c").alias("word"), (F.coalesce("without", F.lit(0)) > F.col("with")).alias("plain")
         )
+        shared_keys = spark.sparkContext.broadcast(keys)
 
         def used(batches):
-            """Per file: its words and the compounds its line ends could be."""
+            """Per file: its words, the compounds its line ends could be (cuts null), and the shapes of its lines (how often they cut)."""
             for pdf in batches:
                 rows = []
                 for path, text in zip(pdf["path"], pdf["text"]):
-                    lines = [x for x in lines_of(text) if x.strip()]
-                    found = {w.lower() for w in set(_TOKEN.findall(text))} - safe.value
+                    lines = lines_of(text)
+                    found = set()
+                    for x in set(text.split()):
+                        if not x.isalpha():
+                            found.update(w.lower() for w in _TOKEN.findall(x))
+                        else:
+                            found.add(x.lower())
+                    found -= safe.value
+                    shapes: dict[str, tuple[bool, int]] = {}
+                    again = recurring(lines)
                     for i, x in enumerate(lines):
+                        if not x.strip():
+                            continue
+                        if _shape(x):
+                            s = shared_keys.value.of(split_number(x)[0])
+                            was, cuts = shapes.get(s, (False, 0))
+                            shapes[s] = (was or i in again, max(cuts, int(i in again and Repair._apart(lines, i))))
                         tok = _tokens(x) if x.rstrip()[-1] in HYPHENS else ()
                         if tok and _ends_cut(x):
-                            for y in lines[i + 1 : i + 6]:  # furniture may stand between
+                            for y in lines[i + 1 :]:  # furniture may stand between
                                 nxt = _tokens(y)
                                 if nxt:
                                     found.add((tok[-1][1] + nxt[0][1]).lower())
                                     found.add((tok[-1][1] + "-" + nxt[0][1]).lower())
-                    rows += [(path, w) for w in found]
-                yield pd.DataFrame(rows, columns=["path", "word"])
-
-        asked = self.files.mapInPandas(used, "path string, word string").distinct()
-        mine = (
-            asked.join(fixes.select("word", "o", F.lit(None).cast("boolean").alias("plain")).unionByName(comp.select("word", F.lit(None).cast("array<struct<n:bigint,meant:string,lo:boolean,up:boolean>>").alias("o"), "plain")), "word")
-            .groupBy("path")
-            .agg(F.collect_list(F.struct("word", "o", "plain")).alias("known"))
+                                if y.strip() and not (_shape(y) or _is_page(y) or _STAMP.match(y)):
+                                    break
+                    rows += [(path, w, None, None) for w in found]
+                    rows += [(path, s, was, cuts) for s, (was, cuts) in shapes.items()]
+                yield pd.DataFrame(rows, columns=["path", "word", "again", "cuts"])
+
+        asked = cut(self.files.mapInPandas(used, "path string, word string, again boolean, cuts int"))
+        shapes = asked.where("again is not null and word not in ('W', 'W #')")
+        usual_shapes = (
+            shapes.where("again").groupBy(F.col("word").alias("shape")).agg(F.countDistinct("path").alias("n"), F.avg("cuts").alias("cuts")).where("n >= 3 and cuts >= 0.2").select("shape")
         )
-        # joined words that are rare only because they were cut: their own whole form is looked up as a rare word
+        none = F.lit(None)
+        option = "array<struct<n:bigint,meant:string,lo:boolean,up:boolean,vec:array<double>>>"
+        lookup = fixes.select("word", "o", none.cast("boolean").alias("plain")).unionByName(comp.select("word", none.cast(option).alias("o"), "plain"))
+        mine = asked.where("again is null").select("path", "word").join(lookup, "word").select("path", "word", "o", "plain")
+        mine = mine.unionByName(shapes.join(usual_shapes, F.col("word") == F.col("shape")).select("path", "word", none.cast(option).alias("o"), none.cast("boolean").alias("plain")))
+        mine = mine.distinct().groupBy("path").agg(F.array_sort(F.collect_list(F.struct("word", "plain", "o"))).alias("known"))
         self.work = spread(cut(self.files.join(mine, "path", "left").select("path", "text", "known")))
-        shared_keys = spark.sparkContext.broadcast(keys)
-
-        def shapes_of(batches):
-            for pdf in batches:
-                rows = set()
-                for path, text in zip(pdf["path"], pdf["text"]):
-                    lines = lines_of(text)
-                    for i in recurring(lines):
-                        rows.add((path, shared_keys.value.of(split_number(lines[i])[0]), int(Repair._apart(lines, i))))
-                yield pd.DataFrame(sorted(rows), columns=["path", "shape", "cuts"])
-
-        known = (
-            self.files.mapInPandas(shapes_of, "path string, shape string, cuts int")
-            .groupBy("shape")
-            .agg(F.countDistinct("path").alias("n"), F.avg("cuts").alias("cuts"))
-            .where("n >= 3 and cuts >= 0.2 and shape <> 'W' and shape <> 'W #'")
-            .orderBy(F.desc("n"), "shape")
-            .limit(shapes)
-            .toPandas()["shape"]
-        )
-        mean = np.sum([usual[w] * v for w, v in vectors.items()], 0) / max(1, sum(usual[w] for w in vectors)) if vectors else None
-        self.repair = spark.sparkContext.broadcast(Repair(keys, set(known), vectors, mean))
-
-    @staticmethod
-    def _learn(files: DataFrame, top: set[str], size: int) -> dict[str, np.ndarray]:
-        """Skip-gram vectors of the ``top`` words, learned from every place of the scanned texts."""
-
-        def tokens(batches):
-            for pdf in batches:
-                yield pd.DataFrame({"words": [re.findall(r"[^\W\d_]+", t.lower()) for t in pdf["text"]]})
-
-        sentences = cut(files.mapInPandas(tokens, "words array<string>").where("size(words) > 1"))
-        if not sentences.take(1):
-            return {}
-        parts = max(1, min(64, sentences.rdd.getNumPartitions()))
-        try:
-            model = Word2Vec(vectorSize=size, minCount=5, windowSize=4, maxIter=1, numPartitions=parts, seed=5, inputCol="words", outputCol="v").fit(sentences)
-        except Exception as e:  # a text too small to hold a frequent word has no vectors
-            if "vocabulary size should be > 0" in str(e).lower() or "vocabulary" in str(e).lower():
-                return {}
-            raise
-        rows = model.getVectors().toPandas()
-        out = {}
-        for w, v in zip(rows["word"], rows["vector"]):
-            if w in top:
-                a = v.toArray().astype(np.float32)
-                out[w] = a / max(float(np.linalg.norm(a)), 1e-9)
-        return out
+        v = vectors.top
+        mean = np.sum([usual[w] * x for w, x in v.items()], 0) / max(1, sum(usual[w] for w in v)) if v else None
+        self.vectors = vectors
+        self.repair = spark.sparkContext.broadcast(Repair(keys, set(), v, mean))
 
     def _apply(self, row, schema: str) -> DataFrame:
         names = [c.split()[0] for c in schema.split(", ")]
@@ -454,14 +588,16 @@ class Scans:
             rep = shared.value
             for pdf in batches:
                 rows = []
-                for path, text, known in zip(pdf["path"], pdf["text"], pdf["known"]):
-                    fixes, comp = {}, {}
-                    for e in known if known is not None else ():
+                for path, text, mine in zip(pdf["path"], pdf["text"], pdf["known"]):
+                    fixes, comp, shapes = {}, {}, set()
+                    for e in mine if mine is not None else ():
                         if e["o"] is not None:
-                            fixes[e["word"]] = [(x["meant"], x["n"], x["lo"], x["up"]) for x in e["o"]]
-                        else:
+                            fixes[e["word"]] = [(x["meant"], x["n"], x["lo"], x["up"], x["vec"]) for x in e["o"]]
+                        elif e["plain"] is not None:
                             comp[e["word"]] = bool(e["plain"])
-                    rows += row(path, *rep.read(text, fixes, comp))
+                        else:
+                            shapes.add(e["word"])
+                    rows += row(path, *rep.read(text, fixes, comp, shapes))
                 yield pd.DataFrame(rows, columns=names)
 
         return self.work.mapInPandas(run, schema)

@@ -163,18 +163,34 @@ def test_scan_empty(spark):
     assert scan_noise.Scans(e, spark.createDataFrame([], "path string, needs_ocr boolean")).text().count() == 0
 
 
-def test_scan_vectors_use_all_places(spark, monkeypatch):
-    seen, real = {}, scan_noise.Word2Vec
-
-    class Kept(real):
-        def fit(self, sentences, *a):
-            seen.update(places=sentences.selectExpr("sum(size(words))").first()[0], size=self.getVectorSize(), window=self.getWindowSize())
-            return super().fit(sentences, *a)
-
-    monkeypatch.setattr(scan_noise, "Word2Vec", Kept)
+def test_scan_vectors_use_all_places(spark):
     text = " ".join(["the vendor sent the invoice to the clerk"] * 40)
-    scans(spark, [(f"s{k}", text) for k in range(3)] + [("s-short", "the clerk signed")])
-    assert seen == {"places": 3 * 40 * 8 + 3, "size": 32, "window": 4}
+    files = [(f"s{k}", text) for k in range(3)] + [("s-short", "the clerk signed")]
+    s = scans(spark, files)
+    n = {}
+    for _, t in files:
+        w = t.split()
+        for i, x in enumerate(w):
+            for y in w[max(0, i - 4) : i] + w[i + 1 : i + 5]:
+                n[x, y] = n.get((x, y), 0) + 1
+    index = {w: i for i, w in enumerate(sorted({"the", "vendor", "sent", "invoice", "to", "clerk"}))}
+    v = scan_noise.Vectors(s.files, index, 32)
+    got = {(r["word"], c): k for r in v.rows.collect() for c, k in zip(r["c"], r["n"])}
+    assert got == {(x, index[y]): k for (x, y), k in n.items() if y in index}
+    assert set(s.vectors.top) == set(index) and all(len(x) == 32 for x in s.vectors.top.values())
+    # the same vectors however the rows are dealt to tasks
+    again = scan_noise.Vectors(s.files.repartition(5), index, 32)
+    assert all((again.top[w] == v.top[w]).all() for w in index)
+    other = v.of(spark.createDataFrame([("signed",), ("absent",)], "word string")).collect()
+    assert [r["word"] for r in other] == ["signed"] and abs(sum(x * x for x in other[0]["vec"]) - 1) < 1e-6
+
+
+def test_scan_hyphen_across_much_furniture(spark):
+    head = "\n".join(["ORION CASE FILE", "Volume Two", "Exhibit Room", "Sealed Copy", "Held Apart", "Page 12", "Vendor Papers"])
+    text = f"the clerk sent the in-\n{head}\nvoice to the office. The clerk may\n{head}\nsend the vendor the bill."
+    files = [(f"s{k}", text) for k in range(6)] + [("c0", "the clerk sent the invoice to the office. " * 9)]
+    got = scans(spark, files).marks().where("kind = 'hyphen' and line_no = 1").count()
+    assert got == 6
 
 
 def test_scan_word_with_clean_places(spark):
