@@ -22,12 +22,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.llm.common import cut, read, spread
 
 HYPHENS = "-­¬‐‑"
+_MIDDLE = ",;:" + HYPHENS
 _ADDRESS = re.compile(r"\S+@\S+\.\S+|https?://\S+|www\.\S+")
 _TOKEN = re.compile(r"(?:@(?=[^\W_]))?[^\W_]+(?:[@|!$'’](?=[^\W_])[^\W_]+)*[@$]?")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
@@ -60,6 +62,7 @@ def lines_of(text: str) -> list[str]:
     return [x.rstrip("\r") for x in text.split("\n")]
 
 
+@lru_cache(maxsize=100_000)
 def odd(word: str) -> bool:
     """A word with a digit or sign between letters, which no spelling has."""
     if word.isalpha() or _ORDINAL.fullmatch(word) or not re.search(r"[^\W\d_]", word):
@@ -82,6 +85,23 @@ def _tokens(line: str):
     return [(m.start(), m.group()) for m in _TOKEN.finditer(line)]
 
 
+class _Lazy(dict):
+    """The tokens of the lines that are asked for."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+
+    def __missing__(self, i: int):
+        self[i] = out = _tokens(self.lines[i])
+        return out
+
+
+@lru_cache(maxsize=200_000)
+def _lowered(chunk: str) -> tuple[str, ...]:
+    """The tokens of what stands between two blanks, in lower case."""
+    return tuple(w.lower() for w in _TOKEN.findall(chunk))
+
+
 def _ends_cut(line: str) -> bool:
     s = line.rstrip()
     return bool(s) and s[-1] in HYPHENS and bool(_CUT.search(s))
@@ -140,8 +160,18 @@ def _count(batches):
         yield pd.DataFrame([(k, *v) for k, v in n.items()], columns=["word", "clean", "scanned", "lower", "clean_lower"])
 
 
-def _pairs(index: dict[str, int]):
-    """word, c, n: how often the context word ``c`` stands within ``WINDOW`` places of ``word``, over every place of a batch."""
+BITS = 1 << 20
+
+
+def _bit(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) & (BITS - 1)
+
+
+def _pairs(index: dict[str, int], wanted: np.ndarray):
+    """word, c, n: how often the context word ``c`` stands within ``WINDOW`` places of ``word``, over every place of a batch.
+
+    ``wanted``: bits of the words whose vectors are used; others need no rows (some get them, as bits coincide).
+    """
     word = re.compile(r"[^\W\d_]+")
     width = max(1, len(index))
 
@@ -161,6 +191,8 @@ def _pairs(index: dict[str, int]):
                     codes.append(x[k] * width + y[k])
             code, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
             names = np.array(list(ids), dtype=object)
+            use = np.array([wanted[_bit(x)] for x in ids], bool)[code // width] if len(code) else np.zeros(0, bool)
+            code, n = code[use], n[use]
             yield pd.DataFrame({"word": names[code // width] if len(code) else [], "c": code % width, "n": n})
 
     return run
@@ -203,13 +235,16 @@ class Vectors:
     """Skip-gram vectors of words in ``files`` (column text).
 
     ``index``: the context words and their places; ``self.top``: word -> unit vector of those; ``of``: the vectors of
-    any other words.  At the driver are two matrices of one row per context word.
+    the ``others`` (column word).  At the driver are two matrices of one row per context word.
     """
 
-    def __init__(self, files: DataFrame, index: dict[str, int], size: int, *, rounds: int = 2, seed: int = 5):
+    def __init__(self, files: DataFrame, index: dict[str, int], size: int, others: DataFrame, *, rounds: int = 2, seed: int = 5):
         spark = files.sparkSession
         shared = spark.sparkContext.broadcast(index)
-        rows = files.mapInPandas(_pairs(index), "word string, c int, n long").groupBy("word", "c").agg(F.sum("n").alias("n"))
+        wanted = np.zeros(BITS, bool)
+        wanted[[_bit(w) for w in index]] = True
+        wanted[others.select(F.udf(_bit, "int", useArrow=True)("word").alias("b")).distinct().toPandas()["b"].to_numpy(int)] = True
+        rows = files.mapInPandas(_pairs(index, wanted), "word string, c int, n long").groupBy("word", "c").agg(F.sum("n").alias("n"))
         rows = rows.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("p"), F.sum("n").alias("total"))
         place = F.udf(lambda w: shared.value.get(w), "int", useArrow=True)
         self.rows = cut(rows.select(place("word").alias("i"), "word", F.col("p.c").alias("c"), F.col("p.n").alias("n"), "total"))
@@ -237,7 +272,7 @@ class Vectors:
         return out
 
     def of(self, words: DataFrame) -> DataFrame:
-        """word, vec (unit length) of the distinct ``words`` (column word) that have places in the files."""
+        """word, vec (unit length) of those of the ``others`` that have places in the files."""
         if self.draw is None:
             return words.select("word", F.lit(None).cast("array<double>").alias("vec")).limit(0)
         rows = self.rows.join(words, "word")
@@ -256,6 +291,10 @@ class Vectors:
         return rows.select(key, "c", "n").mapInPandas(run, f"{key} {kind}, vec array<double>")
 
 
+_PART = re.compile(r"[^\W_]+(?:@[^\W_]+)*|/|,")
+_NUMERIC = re.compile(r"(?=\D*\d)[\dOlIS]+$")
+
+
 class Skeletons:
     """Shapes of furniture lines: frequent words by their glyph key, other words and numbers as a sign."""
 
@@ -264,8 +303,8 @@ class Skeletons:
 
     def of(self, line: str) -> str:
         out: list[str] = []
-        for w in re.findall(r"[^\W_]+(?:@[^\W_]+)*|/|,", line):
-            if re.match(r"[\dOlIS]+$", w) and re.search(r"\d", w):
+        for w in _PART.findall(line):
+            if w[0] in "0123456789OlIS" and _NUMERIC.match(w):
                 s = "#"
             else:
                 k = glyph_key(w)
@@ -275,19 +314,27 @@ class Skeletons:
         return " ".join(out)
 
 
+_FIRM = re.compile(r"\b(?:S\.?A|Co|Inc|Ltd|Corp|L\.?L\.?P)\.$")
+
+
 def _shape(line: str) -> bool:
     """Could be furniture by its looks: not a sentence nor the middle of one."""
     s = line.strip()
-    if not s or len(s) > 90 or _HEADING.match(s):
+    if not s or len(s) > 90:
         return False
-    if s[-1] in ",;:" + HYPHENS or (s[-1] == "." and not re.search(r"\b(?:S\.?A|Co|Inc|Ltd|Corp|L\.?L\.?P)\.$", s)):
+    c = s[0]
+    if not (c.isupper() or c.isdigit() or line[:2] == "  " or not c.isalnum()):
         return False
-    return s[0].isupper() or s[0].isdigit() or line[:2] == "  " or not s[0].isalnum()
+    if s[-1] in _MIDDLE or (s[-1] == "." and not _FIRM.search(s)):
+        return False
+    return not _HEADING.match(s)
 
 
 def split_number(line: str) -> tuple[str, bool]:
     """The line without a page number that stands apart in it; whether there was one."""
     s = line.strip()
+    if "  " not in s and " |" not in s and "\t" not in s and s.isprintable():
+        return s, False  # nothing stands apart
     m = re.match(r"^(.*\S)(?:\s{2,}|\s+\|\s+)(\S.*)$", s)
     if m and _PAGE.match(m[2]) and re.search(r"[^\W\d_]{3}", m[1]):
         return m[1], True
@@ -299,7 +346,7 @@ def split_number(line: str) -> tuple[str, bool]:
 
 def _is_page(line: str) -> bool:
     s = line.strip()
-    if not _PAGE.match(s) or _HEADING.match(s):
+    if len(s) > 20 and len(s.split()) > 8 or not _PAGE.match(s) or _HEADING.match(s):
         return False
     return bool(re.search(r"\d", s)) or bool(re.fullmatch(r"[-–—\[(|\s]*[ivxl]+[-–—\])|\s]*", s)) or bool(re.match(r"\s*[-–\[]\s*[OlISB]\s*[-–\]]|p", s, re.I) and len(s) < 14 and not s.isalpha())
 
@@ -388,15 +435,16 @@ class Repair:
             if k:
                 kinds[i].add(k)
         body = [i for i, x in enumerate(lines) if x.strip() and not kinds[i]]
-        toks = {i: _tokens(lines[i]) for i in body}
+        toks = _Lazy(lines)
+        strange = {x for x in set(text.split()) if (x.lower() in fixes if x.isalpha() else any(w in fixes or odd(w) for w in _lowered(x)))}
         edits: dict[int, list[tuple[int, int, str]]] = {}
         joins: dict[int, int] = {}
         flat: list[tuple[int, int, str, str]] = []  # line, start, as printed, whole word
         skip: set[tuple[int, int]] = set()
         for k, i in enumerate(body):
-            if not toks[i]:
-                continue
             s0 = lines[i].rstrip()
+            if s0[-1] not in HYPHENS or not toks[i]:
+                continue
             if _ends_cut(lines[i]) and k + 1 < len(body) and toks[body[k + 1]]:
                 j = body[k + 1]
                 (a, w), (b, v) = toks[i][-1], toks[j][0]
@@ -413,6 +461,8 @@ class Repair:
                             edits.setdefault(j, []).append((b, b + len(v), ""))
                         skip |= {(i, a), (j, b)}
         for k, i in enumerate(body):
+            if strange.isdisjoint(lines[i].split()):
+                continue
             for a, w in toks[i]:
                 if (w.isalpha() and w.lower() not in fixes) or (i, a) in skip:
                     continue
@@ -501,7 +551,6 @@ class Scans:
         top = words.where("lower > 4 and not contains(word, '-')").orderBy(F.desc("lower"), "word").limit(frequent).select("word", "scanned").toPandas()
         usual = dict(zip(top["word"], top["scanned"]))
         keys = Skeletons(frozenset(glyph_key(w) for w in usual if w.isalpha()))
-        vectors = Vectors(self.files, {w: i for i, w in enumerate(x for x in usual if x.isalpha())}, size)
         # rare words of scanned texts, and the frequent ones with the same key
         key, strange = F.udf(glyph_key, "string", useArrow=True), F.udf(odd, "boolean", useArrow=True)
         alpha = words.where("not contains(word, '-')").withColumn("n", F.col("clean") + F.col("scanned"))
@@ -516,7 +565,8 @@ class Scans:
             link = link.withColumn(kind, F.expr(f"case when clean = 0 then true when s{x} = 0 or of_c{x} + of_s{x} < {ratio} * s{x} then null when c{x} = 0 then true when c{x} * of_s{x} < s{x} * of_c{x} then false end"))
         link = link.where("lo is not null or up is not null").select("word", "meant", "n", "lo", "up")
         link = cut(link)
-        meant = link.select(F.col("meant").alias("word")).distinct()
+        meant = cut(link.select(F.col("meant").alias("word")).distinct())
+        vectors = Vectors(self.files, {w: i for i, w in enumerate(x for x in usual if x.isalpha())}, size, meant)
         link = link.join(vectors.of(meant).withColumnRenamed("word", "meant"), "meant", "left")
         fixes = cut(link.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("n", "meant", "lo", "up", "vec")), False).alias("o")))
         sure = words.where("lower > 4 and clean > 0 and not contains(word, '-')").join(fixes, "word", "left_anti").orderBy(F.desc("lower"), "word").limit(frequent).select("word").toPandas()["word"]
@@ -536,10 +586,10 @@ class Scans:
                     lines = lines_of(text)
                     found = set()
                     for x in set(text.split()):
-                        if not x.isalpha():
-                            found.update(w.lower() for w in _TOKEN.findall(x))
-                        else:
+                        if x.isalpha():
                             found.add(x.lower())
+                        else:
+                            found.update(_lowered(x))
                     found -= safe.value
                     shapes: dict[str, tuple[bool, int]] = {}
                     again = recurring(lines)
