@@ -2,9 +2,12 @@
 
 Method: a generalised suffix automaton per thread holds the words of its messages, each state with the
 earliest message that contains its strings.  A message is read through it; runs of at least ``MIN_RUN`` words
-that an earlier message holds are inherited, however their lines are wrapped or prefixed.  With the marks of
-quoting they tell the quoted parts.  From what is left the sender's ending (device footer, notice,
-signature) is stripped: lines without a sentence, found at the end, or recurring as endings.
+that an earlier message holds are inherited, however their lines are wrapped or prefixed.  A stretch of ``LONG_RUN``
+inherited words or more is quoted history, marked or not; what no automaton holds (messages that are not in the
+collection, introducing lines and headers) is told by the marks of quoting.  From what is left the sender's ending
+(device footer, notice, signature) is stripped: lines without a sentence, found at the end, or recurring as endings.
+
+A message without a family joins the family with which it shares most runs that no other family has.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from casework.llm.common import WORD, cut, read, rolling, spread, word_hashes
 
 MIN_RUN = 12
+LONG_RUN = 24  # inherited words in a row that are quoted without any mark
+WINNOW = 8  # of so many neighbouring runs one is a fingerprint
 BLOCK = 64  # messages in an automaton
 
 _QUOTE = re.compile(r"^\s*(?:[A-Z]{1,3}>|>|\|(?=\s|$))")
@@ -208,28 +213,39 @@ def label(text: str, inherited: np.ndarray | None = None, endings: set[int] | No
         else:
             indent = None
         i += 1
-    # inherited prose next to quoted lines, or in a long inherited stretch
-    i = 0
-    while i < n:
-        if out[i] or blank[i] or held[i] < 0.9:
-            i += 1
-            continue
-        j, total, last = i, 0, i
-        while j < n and (blank[j] or (not out[j] and held[j] >= 0.9)):
-            if not blank[j]:
-                total += len(words[j])
-                last = j
-            j += 1
-        if total >= 3 * MIN_RUN:
-            for k in range(i, last + 1):
-                if not blank[k] and _SENTENCE.search(lines[k]) and not _CLOSING.match(lines[k]):
-                    out[k] = "quote"
-        i = j
+    if inherited is not None and len(inherited):
+        _history(lines, blank, out, words, inherited)
     _notices(lines, blank, out)
     _ending(lines, blank, out, words, endings or set())
     return [("" if blank[i] else out[i] or "new") for i in range(n)]
 
 
+def _history(lines, blank, out, words, inherited) -> None:
+    """Marks the lines of every long inherited stretch as quoted, however they are wrapped.
+
+    A line belongs to the stretch that holds four fifths of its words.  In front of a stretch a greeting, closing phrase or
+    lone name is left: a sender's own closing and signature recur too, and begin with these.
+    """
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], np.asarray(inherited, np.int8), [0]))))
+    ends = np.cumsum([len(w) for w in words])
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if b - a < LONG_RUN:
+            continue
+        front = True
+        for i in range(int(np.searchsorted(ends, a, "right")), len(lines)):
+            first = int(ends[i]) - len(words[i])
+            if first >= b:
+                break
+            if not words[i] or blank[i] or min(b, int(ends[i])) - max(a, first) < 0.8 * len(words[i]):
+                continue
+            front = front and not out[i] and bool(_CLOSING.match(lines[i]) or _GREETING.match(lines[i]) or _LONE.match(lines[i]))
+            if not front and not out[i]:
+                out[i] = "quote"
+
+
+_LONE = re.compile(r"^\s*[^\W\d_][\w'’.-]*\s*$")
+
+
 def _is_head(lines: list[str], i: int) -> bool:
     """A From line with another header line within the next two."""
     return any(_HEADER.match(x) and not _FROM.match(x) for x in lines[i + 1 : i + 3])
@@ -333,6 +349,34 @@ def emails(payloads: DataFrame) -> DataFrame:
     ).dropDuplicates(["path", "text"])
 
 
+def fingerprints(x: str) -> np.ndarray:
+    """Distinct hashes of runs of ``MIN_RUN`` words: the least of every ``WINNOW`` neighbouring ones, so that any shared
+    stretch of ``MIN_RUN + WINNOW - 1`` words has one in common."""
+    h = rolling(word_hashes(WORD.findall(x.lower())), MIN_RUN).view(np.int64)
+    if len(h) > WINNOW:
+        h = np.lib.stride_tricks.sliding_window_view(h, WINNOW).min(1)
+    return np.unique(h)
+
+
+def threaded(mails: DataFrame) -> DataFrame:
+    """``mails`` with a thread for those without one that share runs with a family: the one that has most of them.
+
+    A run that several families hold (notices, signatures) tells nothing and is left out; ties go to the lesser thread.
+    """
+
+    def prints(batches):
+        for pdf in batches:
+            marks = [fingerprints(x) for x in pdf["text"]]
+            yield pd.DataFrame({"path": pdf["path"], "thread": pdf["thread"], "seed": marks})
+
+    made = mails.where("thread is not null or sent is not null").mapInPandas(prints, "path string, thread string, seed array<long>")
+    made = cut(made).select("path", "thread", F.explode("seed").alias("seed"))
+    held = made.where("thread is not null").groupBy("seed").agg(F.min("thread").alias("a"), F.max("thread").alias("b")).where("a = b")
+    found = made.where("thread is null").select("path", "seed").distinct().join(held, "seed").groupBy("path", "a").agg(F.count(F.lit(1)).alias("n"))
+    first = found.groupBy("path").agg(F.min(F.struct((-F.col("n")).alias("m"), "a")).alias("f")).select("path", F.col("f.a").alias("found"))
+    return mails.join(first, "path", "left").withColumn("thread", F.coalesce("thread", "found")).drop("found")
+
+
 def inherited_runs(mails: DataFrame) -> DataFrame:
     """path, runs: flat array of word places [from, to, from, to ...] that an earlier message of the thread holds.
 
@@ -395,19 +439,19 @@ def inherited_runs(mails: DataFrame) -> DataFrame:
     return found.groupBy("path", F.xxhash64("text").alias("h")).agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def labelled(payloads: DataFrame, *, recurring: int = 3, max_endings: int = 200_000) -> DataFrame:
+def labelled(payloads: DataFrame, *, recurring: int = 3, broadcast: int = 200_000) -> DataFrame:
     """path, line_no (from 1), label, line of every non-blank line of every email.
 
     Labels: new, quote, notice, device, banner, signature.  Rows without text or that are no email (by the
     ending of the path) take no part; repeated rows count once; a file with two texts gets the lines of
-    both; mails without a thread or time are read by their marks alone; empty tables give no rows.  Ending lines
-    that recur in ``recurring`` files or more are known as such; the ``max_endings`` most frequent of them are
-    broadcast (8 bytes each).
+    both; mails without a time, and those whose runs tell no thread, are read by their marks alone; empty tables give
+    no rows.  Ending lines that recur in ``recurring`` files or more are known as such: they are broadcast (8 bytes
+    each) up to ``broadcast`` of them, and joined to the mails beyond that, with the same result.
     """
     spark = payloads.sparkSession
     mails = cut(emails(payloads))
-    runs = inherited_runs(mails)
-    both = spread(cut(mails.withColumn("h", F.xxhash64("text")).join(runs, ["path", "h"], "left").select("path", "text", "runs")))
+    runs = inherited_runs(threaded(mails))
+    both = spread(cut(mails.withColumn("h", F.xxhash64("text")).join(runs, ["path", "h"], "left").select("path", "h", "text", "runs")))
 
     def flags_of(text, runs):
         if runs is None:
@@ -426,16 +470,28 @@ def labelled(payloads: DataFrame, *, recurring: int = 3, max_endings: int = 200_
                 rows += [(p, _line_key(ws[i])) for i, k in enumerate(label(t, flags_of(t, r))) if k == "signature" and ws[i]]
             yield pd.DataFrame(rows, columns=["path", "line"])
 
-    common = both.mapInPandas(ends, "path string, line long").groupBy("line").agg(F.countDistinct("path").alias("n"))
-    known = common.where(F.col("n") >= recurring).orderBy(F.desc("n"), "line").limit(max_endings).select("line").toPandas()["line"]
-    shared = spark.sparkContext.broadcast(set(known.tolist()))
+    common = cut(both.mapInPandas(ends, "path string, line long").groupBy("line").agg(F.countDistinct("path").alias("n")).where(F.col("n") >= recurring).select("line"))
+    shared = None
+    if common.count() <= broadcast:
+        shared = spark.sparkContext.broadcast(set(common.toPandas()["line"].tolist()))
+        both = both.withColumn("known", F.lit(None).cast("array<long>"))
+    else:
+
+        def asked(batches):
+            for pdf in batches:
+                keys = [sorted({_line_key(w) for w in _line_words(t.split("\n")) if w}) for t in pdf["text"]]
+                yield pd.DataFrame({"path": pdf["path"], "h": pdf["h"], "line": keys})
+
+        mine = both.mapInPandas(asked, "path string, h long, line array<long>").select("path", "h", F.explode("line").alias("line")).join(common, "line")
+        both = both.join(mine.groupBy("path", "h").agg(F.collect_set("line").alias("known")), ["path", "h"], "left")
 
     def final(batches):
         for pdf in batches:
             rows = []
-            for p, t, r in zip(pdf["path"], pdf["text"], pdf["runs"]):
+            for p, t, r, k in zip(pdf["path"], pdf["text"], pdf["runs"], pdf["known"]):
                 lines = t.split("\n")
-                rows += [(p, i + 1, k, lines[i]) for i, k in enumerate(label(t, flags_of(t, r), shared.value)) if k]
+                known = shared.value if shared is not None else set(k) if k is not None else set()
+                rows += [(p, i + 1, x, lines[i]) for i, x in enumerate(label(t, flags_of(t, r), known)) if x]
             yield pd.DataFrame(rows, columns=["path", "line_no", "label", "line"])
 
     return both.mapInPandas(final, "path string, line_no int, label string, line string")

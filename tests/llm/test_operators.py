@@ -174,14 +174,15 @@ def test_scan_vectors_use_all_places(spark):
             for y in w[max(0, i - 4) : i] + w[i + 1 : i + 5]:
                 n[x, y] = n.get((x, y), 0) + 1
     index = {w: i for i, w in enumerate(sorted({"the", "vendor", "sent", "invoice", "to", "clerk"}))}
-    v = scan_noise.Vectors(s.files, index, 32)
+    others = spark.createDataFrame([("signed",), ("absent",)], "word string")
+    v = scan_noise.Vectors(s.files, index, 32, others)
     got = {(r["word"], c): k for r in v.rows.collect() for c, k in zip(r["c"], r["n"])}
-    assert got == {(x, index[y]): k for (x, y), k in n.items() if y in index}
+    assert got == {(x, index[y]): k for (x, y), k in n.items() if y in index and (x in index or x == "signed")}
     assert set(s.vectors.top) == set(index) and all(len(x) == 32 for x in s.vectors.top.values())
     # the same vectors however the rows are dealt to tasks
-    again = scan_noise.Vectors(s.files.repartition(5), index, 32)
+    again = scan_noise.Vectors(s.files.repartition(5), index, 32, others)
     assert all((again.top[w] == v.top[w]).all() for w in index)
-    other = v.of(spark.createDataFrame([("signed",), ("absent",)], "word string")).collect()
+    other = v.of(others).collect()
     assert [r["word"] for r in other] == ["signed"] and abs(sum(x * x for x in other[0]["vec"]) - 1) < 1e-6
 
 
@@ -346,7 +347,27 @@ def test_unmarked_quotation_is_inherited(spark, monkeypatch):
     assert got.where("path = 'a/1.eml' and label <> 'new'").count() == 0
     two = {r["line_no"]: r["label"] for r in got.where("path = 'a/2.MSG'").collect()}
     assert two[1] == "new" and list(two.values()).count("quote") >= 6
+    # every line of the rewrapped history, also those that end inside a sentence
+    assert [n for n, k in sorted(two.items()) if k == "new"] == [1]
     assert got.where("path in ('a/z.pdf', 'a/x.eml', 'a/y.eml')").count() == 0 and email_text.labelled(df.limit(0)).count() == 0
+    # a mail without a family that holds the same words joins the thread; without the automaton all of it would be new
+    alone = spark.createDataFrame(data[:1] + [("a/n.eml", "So do I.\n" + old.replace("auditor asked", "auditor\nasked"), '{"sent": "2020-02-01T00:00:00"}')], "path string, text string, metadata string")
+    seen = {r["line_no"]: r["label"] for r in email_text.labelled(alone).where("path = 'a/n.eml'").collect()}
+    assert [n for n, k in sorted(seen.items()) if k == "new"] == [1]
+    assert set(email_text.label(data[1][1])) == {"new"}
+    # the lexicon of endings gives the same lines broadcast and joined
+    ended = [(f"e/{k}.eml", f"Note {k} is done.\n\nThanks,\nAnn\nAnn Example\nHead of Freight\n", "{}") for k in range(5)] + [("e/9.eml", "Note 9 is done.\n\nHead of Freight\n", "{}")]
+    ed = spark.createDataFrame(ended, "path string, text string, metadata string")
+    assert rows(email_text.labelled(ed)) == rows(email_text.labelled(ed, broadcast=0))
+
+
+def test_history_leaves_greeting_in_front():
+    said = [f"word{i}" for i in range(30)]
+    lines = ["Thanks,", "Ann", " ".join(said[:15]), " ".join(said[15:]), "So I did it."]
+    flags = np.array([True] * 32 + [False] * 4)
+    assert email_text.label("\n".join(lines), flags)[:2] == ["new", "new"]
+    assert email_text.label("\n".join(lines), flags)[2:] == ["quote", "quote", "new"]
+    assert set(email_text.label("\n".join(lines), np.array([True] * 20 + [False] * 16))) == {"new"}
 
 
 # personal data
