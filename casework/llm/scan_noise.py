@@ -274,10 +274,10 @@ class Vectors:
     def of(self, words: DataFrame) -> DataFrame:
         """word, vec (unit length) of those of the ``others`` that have places in the files."""
         if self.draw is None:
-            return words.select("word", F.lit(None).cast("array<double>").alias("vec")).limit(0)
+            return words.select("word", F.lit(None).cast("array<float>").alias("vec")).limit(0)
         rows = self.rows.join(words, "word")
         unit = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)) + F.lit(1e-9)
-        return self._solved(rows, self.to, "word", "string").withColumn("norm", unit).select("word", F.expr("transform(vec, x -> x / norm)").alias("vec"))
+        return self._solved(rows, self.to, "word", "string").withColumn("norm", unit).select("word", F.expr("transform(vec, x -> float(x / norm))").alias("vec"))
 
     def _solved(self, rows: DataFrame, to: np.ndarray, key: str, kind: str) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast((to, self.draw))
@@ -565,8 +565,11 @@ class Scans:
             link = link.withColumn(kind, F.expr(f"case when clean = 0 then true when s{x} = 0 or of_c{x} + of_s{x} < {ratio} * s{x} then null when c{x} = 0 then true when c{x} * of_s{x} < s{x} * of_c{x} then false end"))
         link = link.where("lo is not null or up is not null").select("word", "meant", "n", "lo", "up")
         link = cut(link)
-        meant = cut(link.select(F.col("meant").alias("word")).distinct())
-        vectors = Vectors(self.files, {w: i for i, w in enumerate(x for x in usual if x.isalpha())}, size, meant)
+        index = {w: i for i, w in enumerate(x for x in usual if x.isalpha())}
+        contexts = spark.sparkContext.broadcast(frozenset(index))
+        other = F.udf(lambda w: w not in contexts.value, "boolean", useArrow=True)
+        meant = cut(link.select(F.col("meant").alias("word")).distinct().where(other("word")))  # the others' vectors are at hand everywhere
+        vectors = Vectors(self.files, index, size, meant)
         link = link.join(vectors.of(meant).withColumnRenamed("word", "meant"), "meant", "left")
         fixes = cut(link.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("n", "meant", "lo", "up", "vec")), False).alias("o")))
         sure = words.where("lower > 4 and clean > 0 and not contains(word, '-')").join(fixes, "word", "left_anti").orderBy(F.desc("lower"), "word").limit(frequent).select("word").toPandas()["word"]
@@ -619,7 +622,7 @@ class Scans:
             shapes.where("again").groupBy(F.col("word").alias("shape")).agg(F.countDistinct("path").alias("n"), F.avg("cuts").alias("cuts")).where("n >= 3 and cuts >= 0.2").select("shape")
         )
         none = F.lit(None)
-        option = "array<struct<n:bigint,meant:string,lo:boolean,up:boolean,vec:array<double>>>"
+        option = "array<struct<n:bigint,meant:string,lo:boolean,up:boolean,vec:array<float>>>"
         lookup = fixes.select("word", "o", none.cast("boolean").alias("plain")).unionByName(comp.select("word", none.cast(option).alias("o"), "plain"))
         mine = asked.where("again is null").select("path", "word").join(lookup, "word").select("path", "word", "o", "plain")
         mine = mine.unionByName(shapes.join(usual_shapes, F.col("word") == F.col("shape")).select("path", "word", none.cast(option).alias("o"), none.cast("boolean").alias("plain")))
