@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,77 +14,129 @@ from casework.functions.text import tokens
 K1, B = 1.2, 0.75
 
 
-def _words(s: str) -> list[str]:
+def words_of(s: str) -> list[str]:
     return re.findall(r"[^\W_]+", s.lower())
 
 
-class Parser:
-    """Query language: terms, "phrases", prefix*, field:value, AND, OR, NOT, brackets; OR where nothing stands.
+@dataclass(frozen=True)
+class Leaf:
+    """A term or phrase (``plain``), with the beginning of a word in ``prefix``, in a field."""
 
-    ``parse`` gives a boolean column over the token arrays named in ``fields``; the first is the default.
-    """
+    field: str
+    plain: tuple[str, ...]
+    prefix: str = ""
 
-    _LEX = re.compile(r'\(|\)|(?:\w+:)?"[^"]*"|[^\s()"]+')
+    def words(self) -> list[tuple[str, str]]:
+        return [(self.field, w) for w in self.plain]
 
-    def __init__(self, query: str, fields: dict[str, Column]):
-        self.toks, self.i, self.fields = self._LEX.findall(query), 0, fields
-        self.default = next(iter(fields))
 
-    def parse(self) -> Column:
-        if not self.toks:
-            return F.lit(False)
-        out = self._or()
-        if self.i < len(self.toks):
-            raise ValueError(f"unbalanced query at {self.toks[self.i]!r}")
-        return out
-
-    def _peek(self) -> str:
-        return self.toks[self.i] if self.i < len(self.toks) else ""
-
-    def _or(self) -> Column:
-        out = self._and()
-        while self._peek() and self._peek() != ")":
-            if self._peek().upper() == "OR":
-                self.i += 1
-            out = out | self._and()
-        return out
-
-    def _and(self) -> Column:
-        out = self._not()
-        while self._peek().upper() == "AND":
-            self.i += 1
-            out = out & self._not()
-        return out
-
-    def _not(self) -> Column:
-        if self._peek().upper() == "NOT":
-            self.i += 1
-            return ~self._not()
-        if self._peek() == "(":
-            self.i += 1
-            out = self._or()
-            if self._peek() != ")":
+_LEX = re.compile(r'\(|\)|(?:\w+:)?"[^"]*"|[^\s()"]+')
+
+
+def parse(query: str, fields: list[str]):
+    """The tree of a query: terms, "phrases", prefix*, field:value, AND, OR, NOT, brackets; OR where nothing stands.
+
+    A tree is a ``Leaf``, None (a word of signs alone, which nothing holds), or ("and" | "or" | "not", trees).  The
+    first of ``fields`` is the default; an unknown field is part of the text.
+    """
+    toks = _LEX.findall(query)[::-1]
+
+    def peek() -> str:
+        return toks[-1] if toks else ""
+
+    def either():
+        out = [both()]
+        while peek() and peek() != ")":
+            if peek().upper() == "OR":
+                toks.pop()
+            out.append(both())
+        return ("or", out) if len(out) > 1 else out[0]
+
+    def both():
+        out = [one()]
+        while peek().upper() == "AND":
+            toks.pop()
+            out.append(one())
+        return ("and", out) if len(out) > 1 else out[0]
+
+    def one():
+        if not peek() or peek() == ")":
+            raise ValueError("a term is missing")
+        t = toks.pop()
+        if t.upper() == "NOT":
+            return ("not", [one()])
+        if t == "(":
+            out = either()
+            if peek() != ")":
                 raise ValueError("a bracket is not closed")
-            self.i += 1
+            toks.pop()
             return out
-        t = self._peek()
-        if not t or t == ")":
-            raise ValueError("a term is missing")
-        self.i += 1
-        return self._term(t)
-
-    def _term(self, t: str) -> Column:
-        m = re.match(r"(\w+):(.+)$", t)
-        field, t = (m[1], m[2]) if m and m[1] in self.fields else (self.default, t)
-        toks = self.fields[field]
-        prefix = t.endswith("*") and not t.startswith('"')
-        ws = _words(t)
+        name, colon, value = t.partition(":")
+        field, t = (name, value) if colon and name in fields else (fields[0], t)
+        ws = words_of(t)
         if not ws:
+            return None
+        if t.endswith("*") and not t.startswith('"'):
+            return Leaf(field, tuple(ws[:-1]), ws[-1])
+        return Leaf(field, tuple(ws))
+
+    if not toks:
+        return None
+    tree = either()
+    if toks:
+        raise ValueError(f"unbalanced query at {peek()!r}")
+    return tree
+
+
+def leaves(tree) -> list[Leaf]:
+    """The leaves from left to right."""
+    if tree is None or isinstance(tree, Leaf):
+        return [tree] if tree else []
+    return [x for t in tree[1] for x in leaves(t)]
+
+
+def prefixes(tree) -> set[tuple[str, str]]:
+    return {(x.field, x.prefix) for x in leaves(tree) if x.prefix}
+
+
+def holds(tree, leaf) -> bool:
+    """Whether the tree is true where ``leaf`` says which leaves are."""
+    if tree is None or isinstance(tree, Leaf):
+        return tree is not None and leaf(tree)
+    each = [holds(t, leaf) for t in tree[1]]
+    return not each[0] if tree[0] == "not" else all(each) if tree[0] == "and" else any(each)
+
+
+def condition(tree, cols: dict[int, Column]) -> Column:
+    """The tree over a boolean column for each leaf, by its number from the left; null counts as false."""
+    number = iter(range(len(cols)))
+
+    def go(t) -> Column:
+        if t is None:
             return F.lit(False)
-        if prefix:
-            head = F.exists(toks, lambda x: x.startswith(ws[-1]))
-            return head if len(ws) == 1 else head & phrase(toks, ws[:-1])
-        return F.array_contains(toks, ws[0]) if len(ws) == 1 else phrase(toks, ws)
+        if isinstance(t, Leaf):
+            return F.coalesce(cols[next(number)], F.lit(False))
+        each = [go(x) for x in t[1]]
+        out = each[0]
+        for x in each[1:]:
+            out = out & x if t[0] == "and" else out | x
+        return ~out if t[0] == "not" else out
+
+    return go(tree)
+
+
+def matching(query: str, fields: dict[str, Column]) -> Column:
+    """A query as a condition over token arrays, for texts that have no index."""
+
+    def test(x: Leaf) -> Column:
+        toks = fields[x.field]
+        hit = F.exists(toks, lambda w: w.startswith(x.prefix)) if x.prefix else F.lit(True)
+        if len(x.plain) == 1:
+            return hit & F.array_contains(toks, x.plain[0])
+        return hit & phrase(toks, list(x.plain)) if x.plain else hit
+
+    tree = parse(query, list(fields))
+    return condition(tree, {i: test(x) for i, x in enumerate(leaves(tree))})
 
 
 def phrase(toks: Column, ws: list[str]) -> Column:
@@ -101,7 +154,7 @@ def bm25(docs: DataFrame, terms: list[str], *, key: str, text: str = "text") ->
     One pass for the statistics (document count, mean length, document frequencies: one row), one for the scores;
     nothing is shuffled but that row.  Ties are for the caller to break by key.
     """
-    ws = sorted({w for t in terms for w in _words(t)})
+    ws = sorted({w for t in terms for w in words_of(t)})
     d = docs.select(key, tokens(F.col(text)).alias("_t"))
     tf = {w: _count("_t", w) for w in ws}
     d = d.select(key, F.size("_t").alias("_n"), *[c.alias(f"_f{i}") for i, c in enumerate(tf.values())])
@@ -123,12 +176,6 @@ def top(scored: DataFrame, key: str, k: int, offset: int = 0) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") > offset)
 
 
-def postings(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
-    """The inverted index: term, ``key``, tf, places; to be written once and read by many queries."""
-    t = docs.select(key, F.posexplode(tokens(F.col(text))).alias("place", "term"))
-    return t.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-
-
 def dense(vecs: DataFrame, query: list[float], *, key: str = "id", vec: str = "vec", dim: int | None = None) -> DataFrame:
     """``key``, score: cosine of each vector (its first ``dim`` numbers) to the query; zero vectors score 0."""
     d = dim or len(query)

@@ -5,37 +5,94 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.functions.text import snippet, tokens
+from casework.functions.text import snippet
+from casework.operators import index as ix
 from casework.operators import search as s
-from casework.shared import table
+from casework.shared import fresh, table
 
 TERMS = ("privilege", "custodian", "invoice")
 DIM = 96
+_OPEN: dict[tuple[str, str, str], ix.Index] = {}
+_FIELDS = {"body": "text", "custodian": "custodian", "source": "source"}
+_STORED = ["custodian", "doctype", "source"]
 
 
 def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def _index(spark, d, name: str = "documents") -> ix.Index:
+    """The index of a table: written by the session's first query of it, read by all."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _OPEN:
+        path = fresh(spark, "index")
+        if name == "documents":
+            _OPEN[at] = ix.build_index(_docs(spark, d), path, key="doc_id", fields=_FIELDS, stored=_STORED)
+        else:
+            docs = table(spark, d, "dense_docs").where("text is not null").groupBy("identifier").agg(
+                F.min("text").alias("text"), F.min("custodian").alias("custodian"), F.min("doctype").alias("doctype")
+            )
+            _OPEN[at] = ix.build_index(docs, path, key="identifier", fields={"body": "text"}, stored=["custodian", "doctype"])
+            ix.build_dense(_vectors(spark, d), path)
+    return _OPEN[at]
+
+
 def _hits(spark, d, query: str) -> DataFrame:
-    docs = _docs(spark, d)
-    fields = {"body": tokens(F.col("text")), "custodian": tokens(F.col("custodian")), "source": tokens(F.col("source"))}
-    return docs.where(s.Parser(query, fields).parse()).select("doc_id")
+    return _index(spark, d).matches(query).select(F.col("doc").alias("doc_id"))
 
 
 def bm25_topk(spark, d):
-    top = s.top(s.bm25(_docs(spark, d), ["retention policy"], key="doc_id"), "doc_id", 20)
-    return top.select("doc_id", "rank", F.round("score", 6).alias("score"))
+    top = _index(spark, d).lexical("retention policy", "body", 20)
+    return top.select(F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_scores(spark, d):
-    return s.bm25(_docs(spark, d), list(TERMS), key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return _index(spark, d).score(list(TERMS), "body").select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def lexical_offset(spark, d):
+    """The third page of ten hits."""
+    top = _index(spark, d).lexical("chain custody", "body", 10, 20)
+    return top.select(F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+def search_by_doctype(spark, d):
+    """The best hundred of one kind of document, with their stored columns."""
+    i = _index(spark, d)
+    hits = i.search("counsel privilege", limit=100, where=F.col("doctype") == "email")
+    return hits.select(F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"), "custodian", "doctype")
+
+
+def search_by_custodian(spark, d):
+    """The best hundred of the custodian with the most documents (the first of them by name)."""
+    c = _docs(spark, d).where("custodian is not null").groupBy("custodian").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "custodian").limit(1).collect()
+    i = _index(spark, d)
+    hits = i.search("counsel privilege", limit=100, where=F.col("custodian") == (c[0][0] if c else ""))
+    return hits.select(F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"), "custodian")
+
+
+def index_stats(spark, d):
+    return _index(spark, d).stats()
+
+
+def index_update(spark, d):
+    """An index of the English texts, updated with all: what is replaced counts once."""
+    path = fresh(spark, "index")
+    docs = _docs(spark, d)
+    ix.build_index(docs.where("lang = 'en'"), path, key="doc_id", fields=_FIELDS, stored=_STORED)
+    i = ix.update(docs, path, key="doc_id", fields=_FIELDS, stored=_STORED)
+    body = i.terms.where("field = 'body'").agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("places"))
+    return body.select(F.lit(i.n).cast("long").alias("documents"), "terms", "postings", "places")
 
 
 def boolean_and_not(spark, d):
     return _hits(spark, d, "privilege AND log AND NOT invoice")
 
 
+def boolean_not_only(spark, d):
+    return _hits(spark, d, "NOT (invoice OR counsel OR the)")
+
+
 def boolean_default_or(spark, d):
     return _hits(spark, d, "(subpoena deposition) AND counsel")
 
@@ -65,8 +122,7 @@ def snippet_extract(spark, d):
 
 
 def posting_stats(spark, d):
-    p = s.postings(_docs(spark, d), key="doc_id")
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return _index(spark, d).terms.where("field = 'body'").select("term", "df", "cf")
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -79,21 +135,46 @@ def _query(dim: int = DIM) -> list[float]:
     return [((i * 37) % 19 - 9) / 10 for i in range(dim)]
 
 
+def _nearest(spark, d, dim: int | None = None) -> DataFrame:
+    v = spark.read.parquet(f"{_index(spark, d, 'dense_docs').path}/vectors")
+    return s.dense(v, _query(), key="doc", dim=dim).select(F.col("doc").alias("id"), F.round("score", 6).alias("score"))
+
+
 def dense_topk(spark, d):
-    top = s.top(s.dense(_vectors(spark, d), _query(), key="id").select("id", F.round("score", 6).alias("score")), "id", 20)
-    return top.select("id", "rank", "score")
+    return s.top(_nearest(spark, d), "id", 20).select("id", "rank", "score")
 
 
 def matryoshka_topk(spark, d):
-    top = s.top(s.dense(_vectors(spark, d), _query(), key="id", dim=32).select("id", F.round("score", 6).alias("score")), "id", 20)
-    return top.select("id", "rank", "score")
+    return s.top(_nearest(spark, d, 32), "id", 20).select("id", "rank", "score")
+
+
+def dense_metadata(spark, d):
+    """The nearest twenty with the stored columns of their documents."""
+    hits = s.top(_nearest(spark, d), "id", 20).withColumnRenamed("id", "doc")
+    return _index(spark, d, "dense_docs").with_metadata(hits).select(F.col("doc").alias("id"), "rank", "score", "custodian", "doctype")
 
 
 def hybrid_rrf(spark, d):
-    docs = table(spark, d, "dense_docs").where("text is not null").groupBy("identifier").agg(F.min("text").alias("text"))
-    lex = s.top(s.bm25(docs, ["retention policy"], key="identifier").select(F.col("identifier").alias("id"), F.round("score", 6).alias("score")), "id", 50)
-    den = s.top(s.dense(_vectors(spark, d), _query(), key="id").select("id", F.round("score", 6).alias("score")), "id", 50)
-    return s.rrf(lex, den, "id").select("id", F.round("score", 9).alias("score"))
+    i = _index(spark, d, "dense_docs")
+    lex = s.top(i.score(["retention policy"], "body").select(F.col("doc").alias("id"), F.round("score", 6).alias("score")), "id", 50)
+    return s.rrf(lex, s.top(_nearest(spark, d), "id", 50), "id").select("id", F.round("score", 9).alias("score"))
+
+
+def embedding_telemetry(spark, d):
+    """Tokens and latency in all, and the least, largest and mean size of a batch, per model."""
+    e = table(spark, d, "embedding_results").select("batch_id", "model", "token_count", "latency_ms", F.size("identifiers").alias("k")).dropDuplicates()
+    return e.groupBy("model").agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("token_count").alias("tokens"), F.round(F.sum("latency_ms"), 3).alias("latency"),
+        F.min("k").alias("least"), F.max("k").alias("most"), F.round(F.avg("k"), 6).alias("mean"),
+    )
+
+
+def latency_p95_by_index(spark, d):
+    """Mean, median and the value at place int(n * 0.95) - 1 (the last one's, if negative) of the sorted latencies."""
+    e = table(spark, d, "embedding_results").select("batch_id", "model", "latency_ms").where("latency_ms is not null").dropDuplicates()
+    g = e.groupBy("model").agg(F.array_sort(F.collect_list("latency_ms")).alias("l"), F.avg("latency_ms").alias("a"), F.percentile("latency_ms", F.lit(0.5)).alias("m"))
+    k = F.floor(F.size("l") * 0.95).cast("int")
+    return g.select("model", F.round("a", 6).alias("mean"), F.round("m", 6).alias("median"), F.round(F.when(k > 0, F.element_at("l", k)).otherwise(F.element_at("l", -1)), 6).alias("p95"))
 
 
 def embedding_percentiles(spark, d):
@@ -105,8 +186,9 @@ def embedding_percentiles(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_scores, boolean_and_not, boolean_default_or, phrase_search, prefix_search, field_filter_search, hash_lookup,
-        snippet_extract, posting_stats, dense_topk, matryoshka_topk, hybrid_rrf, embedding_percentiles,
+        bm25_topk, bm25_scores, lexical_offset, search_by_doctype, search_by_custodian, index_stats, index_update, boolean_and_not, boolean_not_only,
+        boolean_default_or, phrase_search, prefix_search, field_filter_search, hash_lookup, snippet_extract, posting_stats, dense_topk, matryoshka_topk,
+        dense_metadata, hybrid_rrf, embedding_percentiles, embedding_telemetry, latency_p95_by_index,
     )
 }
 
@@ -144,6 +226,13 @@ _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 SQL = {
     "bm25_topk": f"WITH {_bm25('documents', 'doc_id', ('retention', 'policy'))} SELECT doc_id, rank, round(raw, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY raw DESC, doc_id) AS rank FROM bm) WHERE rank <= 20",
     "bm25_scores": f"WITH {_bm25('documents', 'doc_id', TERMS)} SELECT doc_id, round(raw, 6) AS score FROM bm",
+    "lexical_offset": f"WITH {_bm25('documents', 'doc_id', ('chain', 'custody'))} SELECT doc_id, rank, round(raw, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY raw DESC, doc_id) AS rank FROM bm) WHERE rank BETWEEN 21 AND 30",
+    "search_by_doctype": f"WITH {_bm25('documents', 'doc_id', ('counsel', 'privilege'))}, h AS (SELECT doc_id, raw, custodian, doctype FROM bm JOIN documents USING (doc_id) WHERE doctype = 'email') SELECT doc_id, rank, round(raw, 6) AS score, custodian, doctype FROM (SELECT *, row_number() OVER (ORDER BY raw DESC, doc_id) AS rank FROM h) WHERE rank <= 100",
+    "search_by_custodian": f"WITH {_bm25('documents', 'doc_id', ('counsel', 'privilege'))}, c AS (SELECT custodian FROM documents WHERE custodian IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, custodian LIMIT 1), h AS (SELECT doc_id, raw, custodian FROM bm JOIN documents USING (doc_id) JOIN c USING (custodian)) SELECT doc_id, rank, round(raw, 6) AS score, custodian FROM (SELECT *, row_number() OVER (ORDER BY raw DESC, doc_id) AS rank FROM h) WHERE rank <= 100",
+    "index_stats": f"""WITH t AS (SELECT doc_id, 'body' AS f, unnest({_TOK.format(c='text')}) AS term FROM documents UNION SELECT doc_id, 'custodian', unnest({_TOK.format(c='custodian')}) FROM documents
+UNION SELECT doc_id, 'source', unnest({_TOK.format(c='source')}) FROM documents) SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(*) AS postings FROM t""",
+    "index_update": f"WITH {_D}, p AS (SELECT doc_id, unnest(t) AS term FROM d) SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(DISTINCT (doc_id, term)) AS postings, count(*) AS places FROM p",
+    "boolean_not_only": f"WITH {_D} SELECT doc_id FROM d WHERE NOT ({_has('invoice')} OR {_has('counsel')} OR {_has('the')})",
     "boolean_and_not": f"WITH {_D} SELECT doc_id FROM d WHERE {_has('privilege')} AND {_has('log')} AND NOT {_has('invoice')}",
     "boolean_default_or": f"WITH {_D} SELECT doc_id FROM d WHERE ({_has('subpoena')} OR {_has('deposition')}) AND {_has('counsel')}",
     "phrase_search": f"WITH {_D} SELECT doc_id FROM d WHERE {_phrase('chain of custody form')} OR {_phrase('scope of the hold')}",
@@ -158,6 +247,9 @@ ELSE trim(CASE WHEN a > 0 THEN '...' ELSE '' END || substr(f, CAST(a + 1 AS BIGI
     "posting_stats": f"WITH {_D} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY 1",
     "dense_topk": f"WITH {_dense(DIM)} SELECT id, rank, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM cs) WHERE rank <= 20",
     "matryoshka_topk": f"WITH {_dense(32)} SELECT id, rank, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM cs) WHERE rank <= 20",
+    "dense_metadata": f"WITH {_dense(DIM)}, h AS (SELECT id, rank, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM cs) WHERE rank <= 20) SELECT id, rank, score, custodian, doctype FROM h LEFT JOIN (SELECT identifier AS id, min(custodian) AS custodian, min(doctype) AS doctype FROM dense_docs WHERE text IS NOT NULL GROUP BY 1) USING (id)",
+    "embedding_telemetry": "SELECT model, count(*) AS batches, CAST(sum(token_count) AS BIGINT) AS tokens, round(sum(latency_ms), 3) AS latency, CAST(min(k) AS INTEGER) AS least, CAST(max(k) AS INTEGER) AS most, round(avg(k), 6) AS mean FROM (SELECT DISTINCT batch_id, model, token_count, latency_ms, len(identifiers) AS k FROM embedding_results) GROUP BY 1",
+    "latency_p95_by_index": "WITH g AS (SELECT model, list_sort(list(latency_ms)) AS l, avg(latency_ms) AS a, median(latency_ms) AS m FROM (SELECT DISTINCT batch_id, model, latency_ms FROM embedding_results WHERE latency_ms IS NOT NULL) GROUP BY 1) SELECT model, round(a, 6) AS mean, round(m, 6) AS median, round(CASE WHEN floor(len(l) * 0.95) > 0 THEN l[CAST(floor(len(l) * 0.95) AS INTEGER)] ELSE l[-1] END, 6) AS p95 FROM g",
     "hybrid_rrf": f"""WITH dd AS (SELECT identifier AS id, min(text) AS text FROM dense_docs WHERE text IS NOT NULL GROUP BY 1), {_bm25('dd', 'id', ('retention', 'policy'))}, {_dense(DIM)},
 lx AS (SELECT id, row_number() OVER (ORDER BY round(raw, 6) DESC, id) AS r FROM bm), de AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM cs)
 SELECT coalesce(a.id, b.id) AS id, round(coalesce(1.0::DOUBLE / (60 + a.r), 0.0) + coalesce(1.0::DOUBLE / (60 + b.r), 0.0), 9) AS score FROM (SELECT * FROM lx WHERE r <= 50) a FULL OUTER JOIN (SELECT * FROM de WHERE r <= 50) b ON a.id = b.id""",
