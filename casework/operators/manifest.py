@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +20,16 @@ EXTENSION_TYPES = {
     ".pdf": "pdf", ".docx": "docx", ".doc": "doc", ".txt": "text", ".md": "text", ".ocr": "text", ".png": "image", ".jpg": "image",
     ".jpeg": "image", ".tiff": "image", ".msg": "email", ".eml": "email", ".pst": "email_archive",
 }
-EXTENSION_MIMES = {
-    ".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".doc": "application/msword",
-    ".txt": "text/plain", ".md": "text/markdown", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".tiff": "image/tiff",
-    ".eml": "message/rfc822", ".csv": "text/csv", ".html": "text/html", ".htm": "text/html", ".json": "application/json", ".xml": "text/xml",
-    ".gif": "image/gif", ".zip": "application/zip",
-}
+#: The standard library's table of types by name, with those for notes that older versions lack.
+EXTENSION_MIMES = {".md": "text/markdown", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"} | mimetypes.MimeTypes().types_map[True]
+# What is searched for findings.
 DETECTABLE_EXTENSIONS = (
-    ".txt .csv .xml .html .htm .pdf .doc .docx .xls .xlsx .json .yaml .yml .log .md .markdown .ocr .eml .msg"
-).split()
+    ".txt", ".csv", ".xml", ".html", ".htm", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".json", ".yaml", ".yml", ".log", ".md", ".markdown", ".ocr", ".eml", ".msg",
+)
 DETECTABLE_MIMES = (
-    "text/plain text/csv text/xml text/html application/pdf application/msword "
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document application/vnd.ms-excel "
-    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet application/json application/x-yaml text/x-log"
-).split()
+    "text/plain", "text/csv", "text/xml", "text/html", "application/pdf", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "application/vnd.ms-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/json", "application/x-yaml", "text/x-log",
+)
 MB = 1024 * 1024
 
 
@@ -53,12 +51,13 @@ def doctype_of(mime: Column, extension: Column) -> Column:
 
 def custodian_of(path: Column) -> Column:
     """The path component behind the first one that names custodians or users; null without one."""
-    m = F.regexp_extract(path, r"(?i)/(?:custodians|users|custodian|user)/([^/]+)", 1)
+    m = F.regexp_extract(path, r"(?i)(?:^|/)(?:custodians|users|custodian|user)/([^/]+)", 1)
     return F.nullif(m, F.lit(""))
 
 
 def extension_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"(\.[^./]+)$", 1)
+    """The suffix of the last component; a name that merely begins with dots has none."""
+    return F.regexp_extract(path, r"(?:^|/)\.*[^./][^/]*(\.[^./]+)$", 1)
 
 
 def distinct_records(manifest: DataFrame) -> DataFrame:
@@ -111,8 +110,8 @@ def detectable(mime: Column, extension: Column, size: Column, most: int = 100 *
     """Why a document is not searched for findings; null where it is.  Extension, type, size, in this order."""
     e, m = F.lower(extension), F.lower(mime)
     return (
-        F.when(~F.coalesce(e.isin(DETECTABLE_EXTENSIONS), F.lit(False)), F.concat(F.lit("extension_not_detectable:"), F.coalesce(e, F.lit(""))))
-        .when(~F.coalesce(m.isin(DETECTABLE_MIMES), F.lit(False)), F.concat(F.lit("mime_not_detectable:"), F.coalesce(m, F.lit(""))))
+        F.when(~F.coalesce(e.isin(*DETECTABLE_EXTENSIONS), F.lit(False)), F.concat(F.lit("extension_not_detectable:"), F.coalesce(e, F.lit(""))))
+        .when(~F.coalesce(m.isin(*DETECTABLE_MIMES), F.lit(False)), F.concat(F.lit("mime_not_detectable:"), F.coalesce(m, F.lit(""))))
         .when(size > most, F.concat(F.lit("exceeds_max_size:"), F.floor(size / MB).cast("string"), F.lit("MB")))
     )
 

@@ -53,25 +53,28 @@ def impact_summary(spark, d):
     return r.agg(n.alias("discovered"), u.alias("unique_files"), (n - u).alias("duplicates"), F.sum("size").alias("bytes"))
 
 
-def _level(spark, d, level: int, *cols):
-    r = m.rollup(_records(spark, d))
-    return r.where(F.col("level") == level).select(*cols, "n", "bytes")
+def _by(spark, d, *cols):
+    """One level of the rollup alone."""
+    r = _records(spark, d).select(
+        m.named("custodian", "unknown").alias("custodian"), m.named("doctype", "other").alias("doctype"), F.lower("extension").alias("extension"), "size"
+    )
+    return r.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def impact_by_custodian(spark, d):
-    return _level(spark, d, 0b011, "custodian")
+    return _by(spark, d, "custodian")
 
 
 def impact_by_custodian_doctype(spark, d):
-    return _level(spark, d, 0b001, "custodian", "doctype")
+    return _by(spark, d, "custodian", "doctype")
 
 
 def impact_by_doctype(spark, d):
-    return _level(spark, d, 0b101, "doctype")
+    return _by(spark, d, "doctype")
 
 
 def impact_by_extension(spark, d):
-    return _level(spark, d, 0b110, "extension")
+    return _by(spark, d, "extension")
 
 
 def impact_grouping_sets(spark, d):
@@ -113,7 +116,10 @@ def schema_violations(spark, d):
 
 
 def hash_check(spark, d):
+    """The manifest held against the files after a sixteenth of them went and another changed."""
+    h = F.substring(F.sha2("path", 256), 1, 1)
     files = table(spark, d, "payloads").select("path", "sha256").unionAll(table(spark, d, "dense_docs").select("path", "sha256"))
+    files = files.where(h != "0").withColumn("sha256", F.when(h == "1", F.reverse("sha256")).otherwise(F.col("sha256")))
     return m.hash_check(table(spark, d, "manifest"), files)
 
 
@@ -153,10 +159,10 @@ QUERIES = {
 }
 
 _R = "WITH r AS (SELECT DISTINCT * FROM manifest) "
-_EXT = "regexp_extract(path, '(\\.[^./]+)$', 1)"
+_EXT = "regexp_extract(path, '(?:^|/)\\.*[^./][^/]*(\\.[^./]+)$', 1)"
 _MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in m.EXTENSION_TYPES.items()) + "}"
 _MIME = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in m.EXTENSION_MIMES.items()) + "}"
-_CUST = "nullif(regexp_extract(path, '(?i)/(?:custodians|users|custodian|user)/([^/]+)', 1), '')"
+_CUST = "nullif(regexp_extract(path, '(?i)(?:^|/)(?:custodians|users|custodian|user)/([^/]+)', 1), '')"
 
 
 def _type(mime: str, ext: str) -> str:
@@ -208,7 +214,7 @@ UNION ALL SELECT 'size_negative' FROM r WHERE size < 0
 UNION ALL SELECT 'extension_case' FROM r WHERE extension <> lower(extension)
 UNION ALL SELECT 'doctype_missing' FROM r WHERE doctype IS NULL
 UNION ALL SELECT 'custodian_missing' FROM r WHERE custodian IS NULL) SELECT rule, count(*) AS n FROM v GROUP BY 1""",
-    "hash_check": """WITH f AS (SELECT path, min(lower(sha256)) AS have FROM (SELECT path, sha256 FROM payloads UNION ALL SELECT path, sha256 FROM dense_docs) GROUP BY 1),
+    "hash_check": """WITH f AS (SELECT path, min(lower(sha256)) AS have FROM (SELECT path, CASE WHEN sha256(path)[1] = '1' THEN reverse(sha256) ELSE sha256 END AS sha256 FROM (SELECT path, sha256 FROM payloads UNION ALL SELECT path, sha256 FROM dense_docs) WHERE sha256(path)[1] <> '0') GROUP BY 1),
 w AS (SELECT path, min(lower(sha256)) AS want FROM manifest GROUP BY 1)
 SELECT path, CASE WHEN have IS NULL THEN 'missing' ELSE 'hash_mismatch' END AS state FROM w LEFT JOIN f USING (path) WHERE have IS NULL OR have <> want""",
     "latest_record": "SELECT path, sha256, size, produced_at FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY produced_at DESC, sha256) AS k FROM (SELECT DISTINCT path, sha256, size, produced_at FROM manifest)) WHERE k = 1",
