@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("inventory", "findings", "searching", "production")
+_MODULES = ("inventory", "findings", "searching", "production", "reviewing", "packing")
 
 
 def _gather(attr: str) -> dict:
