@@ -10,17 +10,30 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the cluster names one; else a folder under the session's warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
-        spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "casework-work"
-    )
-    return base.rstrip("/")
+    """A folder of this application in ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a session on one machine uses its warehouse; a cluster must name a folder that all
+    executors share.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "casework-work")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def fresh(spark: SparkSession, kind: str = "parquet") -> str:
     return f"{work_dir(spark)}/casework-{uuid.uuid4().hex}.{kind}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; no frame made before can be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later plans do not recompute it."""
     path = fresh(df.sparkSession)
@@ -28,10 +41,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SPREAD_MOST = 4 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, where its files give fewer parts than there are cores; large inputs are left as they are."""
+    """``df`` over all cores, where its files give fewer parts than there are cores.
+
+    Only small inputs (4 GB by the optimizer's estimate) that lie in few files are moved, 2 MB or more to a part; larger
+    ones have parts enough and are left as they are.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.rdd.getNumPartitions()
+    if parts >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_MOST:
+        return df
+    want = min(cores, max(8, size >> 21))
+    return df.repartition(want) if want > parts else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

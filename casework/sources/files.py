@@ -12,7 +12,7 @@ from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,20 +22,45 @@ TEXT = (".txt", ".md", ".log", ".csv", ".ocr")
 IMAGES = (".png", ".jpg", ".jpeg", ".tiff", ".bmp", ".gif")
 
 
+def list_files(spark: SparkSession, root: str, *, pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """path, size, mtime of the files below ``root`` whose name fits ``pattern``, sorted by path; links are not followed."""
+    base = _root(root)
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(base)
+    return f.select(_local("path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).where(inside(F.col("path"), base)).where(~_link("path")).orderBy("path")
+
+
+def _root(root: str) -> str:
+    return str(Path(root).resolve())
+
+
+def _local(column: str) -> Column:
+    return F.regexp_replace(column, "^file:/+", "/")
+
+
+def inside(path: Column, root: str) -> Column:
+    """Whether a path lies below ``root`` and has no step up in it."""
+    return path.startswith(root.rstrip("/") + "/") & ~path.rlike(r"(^|/)\.\.(/|$)")
+
+
+def _link(column: str) -> Column:
+    return F.udf(lambda p: os.path.islink(p), "boolean", useArrow=True)(column)
+
+
 def discover(spark: SparkSession, root: str, *, recursive: bool = True, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """One manifest record per file below ``root``: path, sha256, size, mime_type, extension, mtime, custodian, doctype.
 
     Files are read in parallel and hashed in the JVM; ``include`` and ``exclude`` are extensions, whatever their
-    case.  Nothing below another root can appear.  An empty folder gives no rows.
+    case.  Links are skipped, as are files that vanish while they are read; nothing outside of the root can appear.  An
+    empty folder gives no rows.
     """
-    base = str(Path(root).resolve())
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(base)
-    path = F.regexp_replace("path", "^file:/+", "/")
+    base = _root(root)
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(base)
+    path = _local("path")
     ext = extension_of(path)
-    r = f.select(
+    r = f.where(~_link("path")).select(
         path.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), mime_of(ext).alias("mime_type"), ext.alias("extension"),
         F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("mtime"), custodian_of(path).alias("custodian"), doctype_of(mime_of(ext), ext).alias("doctype"),
-    ).where(F.col("path").startswith(base.rstrip("/") + "/"))
+    ).where(inside(F.col("path"), base))
     low = F.lower("extension")
     if include:
         r = r.where(low.isin([x.lower() for x in include]))
@@ -44,6 +69,19 @@ def discover(spark: SparkSession, root: str, *, recursive: bool = True, include:
     return r
 
 
+def discover_one(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """The record of one file; raises where it is missing, no file, or outside of ``root``."""
+    p = Path(path)
+    if not p.exists():
+        raise FileNotFoundError(path)
+    if not p.is_file():
+        raise ValueError(f"{path} is no file")
+    real = p.resolve()
+    if root is not None and not real.is_relative_to(_root(root)):
+        raise ValueError(f"{path} lies outside of {root}")
+    return discover(spark, str(real.parent), recursive=False).where(F.col("path") == str(real))
+
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -67,6 +105,8 @@ def image_size(content: bytes) -> tuple[str, int, int] | None:
         return ("PNG", *struct.unpack(">II", content[16:24]))
     if content[:3] == b"GIF":
         return ("GIF", *struct.unpack("<HH", content[6:10]))
+    if content[:4] in (b"II*\0", b"MM\0*"):
+        return _tiff_size(content)
     if content[:2] == b"BM":
         return ("BMP", *struct.unpack("<ii", content[18:26]))
     if content[:2] == b"\xff\xd8":
@@ -81,6 +121,26 @@ def image_size(content: bytes) -> tuple[str, int, int] | None:
     return None
 
 
+def _tiff_size(content: bytes) -> tuple[str, int, int] | None:
+    """From the first directory: tags 256 and 257, as short or long numbers."""
+    end = "<" if content[:2] == b"II" else ">"
+    at = struct.unpack(end + "I", content[4:8])[0]
+    found = {}
+    for i in range(struct.unpack(end + "H", content[at : at + 2])[0]):
+        tag, kind = struct.unpack(end + "HH", content[at + 2 + 12 * i : at + 6 + 12 * i])
+        value = content[at + 10 + 12 * i : at + 14 + 12 * i]
+        found[tag] = struct.unpack(end + "H", value[:2])[0] if kind == 3 else struct.unpack(end + "I", value)[0]
+    return ("TIFF", found[256], found[257]) if 256 in found and 257 in found else None
+
+
+def docx_properties(content: bytes) -> dict[str, str]:
+    """The core properties that are set, by their plain names."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if "docProps/core.xml" not in z.namelist():
+            return {}
+        return {e.tag.rpartition("}")[2].lower(): e.text for e in ElementTree.fromstring(z.read("docProps/core.xml")) if e.text}
+
+
 def pdf_pages(content: bytes) -> list[str]:
     """Texts of the pages; needs an optional library and raises without one."""
     try:
@@ -91,35 +151,66 @@ def pdf_pages(content: bytes) -> list[str]:
 
 
 def extract(spark: SparkSession, root: str) -> DataFrame:
-    """path, text, page_count, format, error of every file below ``root``; a file that cannot be read has an error."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(Path(root).resolve()))
-    f = f.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    """path, text, page_count, format, metadata, error of every file below ``root``; a file that cannot be read has an error.
+
+    Plain texts stay in the JVM (bytes that are no UTF-8 become the replacement sign); only documents and images go
+    through Python.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_root(root)).where(~_link("path"))
+    f = f.select(_local("path").alias("path"), "content")
+    low = F.lower(extension_of(F.col("path")))
+    none = lambda kind: F.lit(None).cast(kind)
+    plain = f.where(low.isin(*TEXT)).select(
+        "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), none("int").alias("page_count"), F.lit("text").alias("format"),
+        F.create_map(F.lit("format"), F.lit("text")).alias("metadata"), none("string").alias("error"),
+    )
+    known = (".docx", ".pdf", *IMAGES)
+    other = f.where(~low.isin(*TEXT, *known)).select(
+        "path", none("string").alias("text"), none("int").alias("page_count"), none("string").alias("format"), none("map<string,string>").alias("metadata"),
+        F.concat(F.lit("unsupported: "), low).alias("error"),
+    )
+
+    def read(ext: str, content: bytes):
+        if ext == ".docx":
+            return docx_text(content), None, "docx", docx_properties(content)
+        if ext == ".pdf":
+            pages = pdf_pages(content)
+            return "\n\n".join(pages), len(pages), "pdf", {}
+        s = image_size(content)
+        return "", 1, f"{s[0]} {s[1]}x{s[2]}" if s else "image", {"has_exif": str(b"Exif\0\0" in content[:65536]).lower()}
 
     def run(batches):
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                ext = os.path.splitext(path)[1].lower()
-                content = bytes(content)
                 try:
-                    if ext in TEXT:
-                        rows.append((path, content.decode("utf-8", "replace"), None, "text", None))
-                    elif ext == ".docx":
-                        rows.append((path, docx_text(content), None, "docx", None))
-                    elif ext == ".pdf":
-                        pages = pdf_pages(content)
-                        rows.append((path, "\n\n".join(pages), len(pages), "pdf", None))
-                    elif ext in IMAGES:
-                        s = image_size(content)
-                        rows.append((path, "", 1, f"{s[0]} {s[1]}x{s[2]}" if s else "image", None))
-                    else:
-                        rows.append((path, None, None, None, f"unsupported: {ext}"))
+                    rows.append((path, *read(os.path.splitext(path)[1].lower(), bytes(content)), None))
                 except Exception as e:
-                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"[:200]))
-            out = pd.DataFrame(rows, columns=["path", "text", "page_count", "format", "error"])
+                    rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+            out = pd.DataFrame(rows, columns=["path", "text", "page_count", "format", "metadata", "error"])
             yield out.astype({"page_count": "Int32"})
 
-    return f.mapInPandas(run, "path string, text string, page_count int, format string, error string")
+    made = f.where(low.isin(*known)).mapInPandas(run, "path string, text string, page_count int, format string, metadata map<string,string>, error string")
+    return plain.unionByName(made).unionByName(other)
+
+
+def ocr(docs: DataFrame, recognise, *, threshold: int = 10) -> DataFrame:
+    """path, page, text, native, conf of pages (path, page, text, content): those with more than ``threshold`` characters as they
+    are, with confidence 1; the others as ``recognise`` (bytes to text and word confidences) reads them."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, page, text, content in zip(pdf["path"], pdf["page"], pdf["text"], pdf["content"]):
+                if text is not None and len(text.strip()) > threshold:
+                    rows.append((path, page, text, True, 1.0))
+                else:
+                    read, confs = recognise(bytes(content) if content is not None else b"")
+                    good = [c for c in confs if c != -1]
+                    rows.append((path, page, read, False, sum(good) / len(good) / 100 if good else 0.0))
+            yield pd.DataFrame(rows, columns=["path", "page", "text", "native", "conf"])
+
+    return docs.select("path", "page", "text", "content").mapInPandas(run, "path string, page int, text string, native boolean, conf double")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -149,8 +240,27 @@ def decrypt_lines(lines: DataFrame, key: bytes, schema: str) -> DataFrame:
     return lines.select(F.from_json(body, schema).alias("r")).select("r.*")
 
 
+def append_encrypted(df: DataFrame, path: str, key: bytes) -> None:
+    """Adds the rows to an encrypted store that is only ever appended to."""
+    encrypt_lines(df, key).write.mode("append").text(path)
+
+
+def read_store(spark: SparkSession, path: str, key: bytes, schema: str, document: str | None = None) -> DataFrame:
+    """All rows of an encrypted store, or those of one ``document`` (column path)."""
+    r = decrypt_lines(spark.read.text(path), key, schema)
+    return r if document is None else r.where(F.col("path") == document)
+
+
+def write_text(df: DataFrame, path: str, *, order: str = "line_no", line: str = "line") -> None:
+    """A load file in parts, written by the executors: read in the order of their names, the parts are the file."""
+    df.repartitionByRange(order).sortWithinPartitions(order).select(line).write.mode("overwrite").text(path)
+
+
 def write_lines(df: DataFrame, path: str, header: str | None = None) -> int:
-    """A load file in one piece, streamed partition by partition; the number of lines."""
+    """A small file in one piece on the driver's machine, streamed partition by partition; the number of lines.
+
+    For load files of a whole collection use ``write_text``.
+    """
     tmp, n = Path(str(path) + ".tmp"), 0
     with tmp.open("w", encoding="utf-8") as f:
         if header is not None:

@@ -32,21 +32,28 @@ def first_seen(events: DataFrame, keys: list[str], watermark: str = "365 days")
     return events.withWatermark("ts", watermark).select(*keys, "ts").dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
-def run(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def run(stream: DataFrame, mode: str = "complete", state: str | None = None) -> DataFrame:
     """Runs a stream over what is there now and gives its result as a table.
 
-    In ``complete`` mode the last batch's result is the whole; in ``append`` mode the batches add up.
+    Every batch is written to a folder of its own number, so a batch that is played again replaces itself.  In
+    ``complete`` mode the last batch's result is the whole (the state grows with the number of keys, whatever the watermark); in
+    ``append`` mode the batches add up.  With ``state``, a folder, a later run goes on where this one ended.
     """
     spark = stream.sparkSession
-    path, state = fresh(spark), fresh(spark, "state")
+    base = state or fresh(spark, "stream")
+    out = f"{base}/out"
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     schema = stream.schema
-    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # no batch at all
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(path)) if fs.exists(path) else []
+    if not numbers:
         return spark.createDataFrame([], schema)
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(f"{out}/batch={numbers[-1]}")
+    return spark.read.schema(schema).option("basePath", out).parquet(*[f"{out}/batch={n}" for n in numbers]).select(*schema.names)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casework.functions import text as t
-from casework.operators import detect, ledger, manifest, produce, search
+from casework.operators import detect, index, ledger, manifest, marks, package, produce, review, search
 from casework.shared import ranked
 from casework.sources import files
 from casework.streaming import activity
@@ -114,13 +114,13 @@ def test_query_language(spark, query, want):
     data = [(1, "The Privilege log", "doe"), (2, "privilege", "smith"), (3, "log the protocol", None), (4, None, None)]
     df = spark.createDataFrame(data, "id int, text string, who string")
     fields = {"body": t.tokens(F.col("text")), "who": t.tokens(F.col("who"))}
-    assert [r[0] for r in rows(df.where(search.Parser(query, fields).parse()), "id")] == want
+    assert [r[0] for r in rows(df.where(search.matching(query, fields)), "id")] == want
 
 
 @pytest.mark.parametrize("query", ["(a", "a AND", "a )"])
 def test_query_errors(spark, query):
     with pytest.raises(ValueError):
-        search.Parser(query, {"body": F.array(F.lit("a"))}).parse()
+        search.matching(query, {"body": F.array(F.lit("a"))})
 
 
 def test_concept_scores(spark):
@@ -142,16 +142,34 @@ def test_redaction(spark):
 
 
 def test_ledger(spark, tmp_path):
-    e = spark.createDataFrame([(i, f"op{i}") for i in range(50)], "id int, op string")
-    c = ledger.chain(e, ["id"], F.col("op"))
-    assert ledger.breaks(c).count() == 0
-    bad = c.withColumn("entry_hash", F.when(F.col("sequence") == 20, F.lit("x")).otherwise(F.col("entry_hash")))
-    assert rows(ledger.breaks(bad)) == [(21, "chain_broken")]
+    e = spark.createDataFrame([(i, f"op{i}", i % 2) for i in range(50)] + [(50, "x", None)], "id int, op string, who int")
+    c = ledger.sign(ledger.chain(e, "who", ["id"], F.col("op"), segment=10), b"k").cache()
+    h = ledger.heads(c, "who").cache()
+    want, last = {}, {}
+    for i in range(50):
+        n = i // 2
+        p = last.get(i % 2) if n % 10 else ledger.GENESIS if n < 10 else hashlib.sha256(f"{i % 2}:{n // 10}".encode()).hexdigest()
+        last[i % 2] = want[i] = hashlib.sha256(f"{p}|op{i}".encode()).hexdigest()
+    got = {r["id"]: r["entry_hash"] for r in c.collect()}
+    assert {i: got[i] for i in want} == want and ledger.verify(c, "who", b"k", h).count() == 0
+    seen = lambda bad, **kw: rows(ledger.verify(bad, "who", b"k", **kw), "who", "sequence", "error")
+    at = (F.col("who") == 1) & (F.col("sequence") == 15)
+    assert seen(c.withColumn("content", F.when(at, F.lit("y")).otherwise(F.col("content")))) == [(1, 15, "hash_invalid")]
+    assert seen(c.where(~at)) == [(1, 16, "chain_broken")]
+    assert seen(c.withColumn("signature", F.when(at, F.lit("y")).otherwise(F.col("signature")))) == [(1, 15, "signature_invalid")]
+    # an entry rewritten with its hash and signature breaks the next; with all of its segment redone, the heads show it
+    redone = ledger.sign(ledger.chain(e.withColumn("op", F.when(F.col("id") == 29, F.lit("y")).otherwise(F.col("op"))), "who", ["id"], F.col("op"), segment=10), b"k")
+    assert rows(ledger.verify(redone, "who", b"k"), "error") == [] and set(rows(ledger.verify(redone, "who", b"k", h), "who", "error")) == {(1, "tip_mismatch")}
     w = ledger.Writer(str(tmp_path / "l.jsonl"), b"k")
     w.log("a")
     w.log("b", args={"x": 1})
     assert ledger.verify_file(str(tmp_path / "l.jsonl"), b"k") == (True, None)
     assert ledger.verify_file(str(tmp_path / "l.jsonl"), b"other")[0] is False
+    assert [r["operation"] for r in ledger.read(spark, str(tmp_path / "l.jsonl")).collect()] == ["a", "b"]
+    whole = (tmp_path / "l.jsonl").read_text()
+    (tmp_path / "l.jsonl").write_text(whole.splitlines()[0] + "\n")
+    assert ledger.verify_file(str(tmp_path / "l.jsonl"), b"k") == (False, "the seal names another tip")
+    (tmp_path / "l.jsonl").write_text(whole)
     lines = (tmp_path / "l.jsonl").read_text().replace('"b"', '"c"')
     (tmp_path / "l.jsonl").write_text(lines)
     assert ledger.verify_file(str(tmp_path / "l.jsonl"), b"k") == (False, "line 2: hash invalid")
@@ -206,3 +224,144 @@ def test_stream_equals_batch(spark, tmp_path):
     got = rows(activity.run(activity.tumbling(activity.read(spark, str(tmp_path / "ev"), schema))))
     want = rows(df.groupBy(F.unix_micros(F.col("ts").cast("timestamp")).alias("b"), "event_type").agg(F.count(F.lit(1))))
     assert got == want
+
+
+def test_index_equals_scan(spark, tmp_path):
+    data = [(1, "The Privilege log", "doe"), (2, "privilege", "smith"), (3, "log the protocol log", None), (4, None, None), (5, "", "doe"), (None, "log", "doe"), (1, "The Privilege log", "doe")]
+    df = spark.createDataFrame([(*x, x[1], 9) for x in data], "id int, text string, who string, term string, segment int")
+    i = index.build_index(df, str(tmp_path / "i"), key="id", fields={"body": "text", "who": "who"}, stored=["who"])
+    fields = {"body": t.tokens(F.col("text")), "who": t.tokens(F.col("who"))}
+    scan = df.where("id is not null").dropDuplicates()
+    for q in ("privilege", "privilege AND NOT log", '"log the"', '"the log"', "prot*", "who:smith OR prot*", "NOT log", "(log OR missing) AND privilege", "!!", '"log the pro" OR who:doe'):
+        assert rows(i.matches(q), "doc") == rows(scan.where(search.matching(q, fields)), "id"), q
+    assert i.n == 5 and rows(i.stats()) == [(5, 6, 10)]
+    want = {r["id"]: r["score"] for r in search.bm25(scan, ["log"], key="id").collect()}
+    assert {r["doc"]: r["score"] for r in i.score(["log"], "body").collect()} == pytest.approx(want)
+    assert [[r["doc"] for r in i.search("log", limit=1, offset=k).collect()] for k in range(3)] == [[3], [1], []]
+    # a document that comes again is replaced, one that is new is added
+    j = index.update(spark.createDataFrame([(3, "nothing", "doe"), (6, "log book", "smith")], "id int, text string, who string"), str(tmp_path / "i"), key="id", fields={"body": "text", "who": "who"}, stored=["who"])
+    assert j.n == 6 and rows(j.matches("log"), "doc") == [(1,), (6,)] and rows(j.matches("protocol")) == [] and rows(j.matches("nothing"), "doc") == [(3,)]
+    assert index.build_dense(spark.createDataFrame([(1, [1.0, 0.0]), (6, [0.0, 1.0]), (3, None)], "id int, vec array<double>"), str(tmp_path / "i")) == 2
+    h = j.search("log", "hybrid", vec=[0.0, 1.0], limit=2).orderBy("rank").collect()
+    assert [r["doc"] for r in h] == [6, 1] and h[0]["who"] == "smith"
+    with pytest.raises(ValueError):
+        j.dense([1.0])
+
+
+def test_overlaps_by_running_end(spark):
+    r = [("A001", "A100"), ("A010", "A020"), ("A050", "A060"), ("A101", "A105"), ("A999", "A1000"), ("A1000", "A1001"), ("B001", "B001"), (None, "B2")]
+    got = rows(produce.overlaps(spark.createDataFrame(r, "start_label string, end_label string")))
+    assert got == [("A010", "A020", "A100"), ("A050", "A060", "A100"), ("A1000", "A1001", "A1000")]
+
+
+def test_paths(spark):
+    df = spark.createDataFrame([("custodians/doe/a.txt",), ("/x/.bashrc",), ("/x/a.tar.GZ",), ("/Users/b",), ("plain",)], "p string")
+    got = rows(df.select("p", manifest.custodian_of(F.col("p")).alias("c"), manifest.extension_of(F.col("p")).alias("e")))
+    assert got == [("/Users/b", "b", ""), ("/x/.bashrc", None, ""), ("/x/a.tar.GZ", None, ".GZ"), ("custodians/doe/a.txt", "doe", ".txt"), ("plain", None, "")]
+
+
+def test_privilege_patterns(spark):
+    text = "x" * 60 + " Work Product of ann@lawfirm.com, Bob Lee" + "y" * 60
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    at = lambda th: rows(review.privilege_patterns(df, "id", domains=("lawfirm.com",), names=("Bob Lee",), threshold=th), "rule", "confidence")
+    assert at(0.5) == [("attorney_domain", 0.7), ("privilege_keyword", 0.9)] and at(0.95) == []
+    df = spark.createDataFrame([(1, "Bob Lee gave legal advice")], "id int, text string")
+    f = review.privilege_patterns(df, "id", names=("bob lee",))
+    assert rows(f, "rule", "start", "end", "snippet") == [("attorney_name", 0, 7, "Bob Lee"), ("privilege_keyword", 13, 25, "Bob Lee gave legal advice")]
+    d = review.privilege_decisions(df, review.privilege_summary(f, "id"), "id").first()
+    assert (d["route"], d["labels"], d["needs_review"]) == ("pattern", ["PRIVILEGED:PATTERN_KEYWORD", "PRIVILEGED:ATTORNEY_NAME"], False)
+
+
+@pytest.mark.parametrize(
+    ("tokens", "want"),
+    [(["a", "--api-key", "s", "x"], "a --api-key *** x"), (["--KEY=s"], "--KEY=***"), (["--key", "--dim", "3"], "--key --dim 3"), (["--key"], "--key"), ([], "")],
+)
+def test_argv(spark, tokens, want):
+    df = spark.createDataFrame([(tokens,)], "t array<string>")
+    assert df.select(review.argv(F.col("t"))).first()[0] == want
+
+
+def test_finding_lines_and_refine(spark):
+    lines = [('{"concept":"A","category":"b","confidence":"0.6","start":1,"end":2}',), ("A | b | 0.7 | 3 | 4",), ("A|b|x|3|4",), ("{bad",), ("|b|1|1|1",), (None,)]
+    got = review.parse_findings(spark.createDataFrame(lines, "line string"))
+    assert rows(got, "confidence", "start", "end") == [(0.6, 1, 2), (0.7, 3, 4)]
+    f = spark.createDataFrame([(1, 0.9, False), (2, 0.6, True), (3, 0.3, None)], "id int, confidence double, needs_refinement boolean")
+    assert rows(review.refine(f, lambda p: p["confidence"] + 1), "id", "confidence", "part") == [(1, 0.9, "sure"), (2, 1.0, "refined"), (3, 0.3, "sure")]
+    assert rows(review.refine(f, lambda p: 1 / 0), "id", "part") == [(1, "sure"), (2, "kept"), (3, "sure")]
+
+
+def test_breaker():
+    now = [0.0]
+    b = review.Breaker(2, 10, lambda: now[0])
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            b.call(lambda: 1 / 0)
+    with pytest.raises(RuntimeError):
+        b.call(lambda: 1)
+    now[0] = 11
+    assert b.state == "half_open" and b.call(lambda: 1) == 1 and b.state == "closed"
+
+
+def test_plan_ids(spark):
+    docs = spark.createDataFrame([("/a", "mail x@y.zz"), ("/b", "mail x@y.zz")], "path string, text string")
+    found = detect.pattern_findings(docs, "path", {"EMAIL": t.EMAIL}).withColumn("page", F.lit(None).cast("int"))
+    plans = marks.redaction_plans(docs, found, types=["EMAIL"])
+    assert len(set(rows(plans, "plan_id"))) == 2 and marks.plan_errors(plans, docs).count() == 0
+    now = spark.createDataFrame([("/a", "mail")], "path string, text string")
+    assert rows(marks.plan_errors(plans, now), "path", "error") == [("/a", "hash_mismatch"), ("/a", "span_outside"), ("/b", "path_missing")]
+
+
+def test_privilege_log(spark):
+    prev = spark.createDataFrame([("PRIVID-0007", "F1", "D1")], "privlog_id string, family_id string, document string")
+    new = spark.createDataFrame([("F2", "D9"), ("F1", "D1"), ("F1", "D2"), ("F1", "D2"), (None, None)], "family_id string, document string")
+    assert rows(review.log_entries(new, prev)) == [("PRIVID-0007", "F1", "D1"), ("PRIVID-0008", "F1", "D2"), ("PRIVID-0009", "F2", "D9")]
+
+
+def test_pipeline_and_pack(spark, tmp_path):
+    src = tmp_path / "in" / "custodians" / "doe"
+    src.mkdir(parents=True)
+    (src / "a.txt").write_text("write to x@y.zz")
+    (src / "b.txt").write_text("write to x@y.zz")
+    (src / "c.md").write_text("nothing")
+    out = str(tmp_path / "out")
+    r = {x["name"]: x for x in package.run(spark, str(tmp_path / "in"), out)}
+    assert [x["status"] for x in r.values()] == ["completed"] * 6 and r["discover"]["rows"] == 3 and r["dedupe"]["rows"] == 2 and r["redaction_plan"]["rows"] == 1
+    assert package.check_pack(spark, f"{out}/pack") == []
+    skipped = package.run(spark, str(tmp_path / "in"), str(tmp_path / "o2"), skip=("dedupe", "redaction_plan", "pack"))
+    assert [x["status"] for x in skipped].count("skipped") == 3 and skipped[-1]["status"] == "failed"
+    assert package.check_pack(spark, str(tmp_path / "none")) == ["manifest cannot be read"]
+    assert package.deterministic(lambda: spark.range(5))
+    with pytest.raises(ValueError):
+        package.Migrations().apply(spark.range(1), "x", 2, 1)
+    with pytest.raises(package.Offline):
+        package.require_online("search", False)
+    page = package.html_report(files.discover(spark, str(src)).withColumn("custodian", F.lit("<doe>")), "t & t")
+    assert "&lt;doe&gt;" in page and "t &amp; t" in page
+
+
+def test_store_and_text(spark, tmp_path):
+    key = b"1" * 16
+    for p in ("/a", "/b"):
+        files.append_encrypted(spark.createDataFrame([(p, 1)], "path string, n int"), str(tmp_path / "s"), key)
+    assert rows(files.read_store(spark, str(tmp_path / "s"), key, "path string, n int", "/b")) == [("/b", 1)]
+    files.write_text(spark.createDataFrame([(i, f"l{i}") for i in range(20)], "line_no long, line string"), str(tmp_path / "t"))
+    got = [x for f in sorted((tmp_path / "t").glob("part-*")) for x in f.read_text().splitlines()]
+    assert got == [f"l{i}" for i in range(20)]
+
+
+def test_first_pages_and_boxes(spark):
+    pages = spark.createDataFrame([("d", 0, "aa"), ("d", 1, "bb aa")], "k string, page int, text string")
+    e = spark.createDataFrame([("d", 1, "bb", None), ("d", 2, "aa", 1), ("d", 3, "aa", 7), ("d", 4, "zz", None)], "k string, id int, needle string, page int")
+    got = {r["id"]: (r["page"], r["state"]) for r in marks.first_pages(e, pages, "k").collect()}
+    assert got == {1: (1, "applied"), 2: (1, "applied"), 3: (7, "page_missing"), 4: (None, "not_found")}
+
+
+def test_resumed_stream(spark, tmp_path):
+    src, state = str(tmp_path / "ev"), str(tmp_path / "st")
+    make = lambda n: spark.createDataFrame([(n, "2024-01-01 00:00:00", "e")], "user_id int, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    make(1).write.mode("append").parquet(src)
+    schema = spark.read.parquet(src).schema
+    once = lambda: rows(activity.run(activity.first_seen(activity.read(spark, src, schema), ["user_id"]), "append", state))
+    assert once() == [(1,)]
+    make(2).write.mode("append").parquet(src)
+    assert once() == [(1,), (2,)]
