@@ -94,3 +94,37 @@ def connected(pairs: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
         e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     )
+
+def attach(df: DataFrame, table: DataFrame, asked, keys: list[str], text: str, *, most: int):
+    """``df`` with what ``table`` (k long, v double) holds of the keys that each row asks for, and a broadcast of the table or None.
+
+    ``asked``: function of a text to its int64 keys.  Up to ``most`` rows the table is broadcast, as sorted arrays of 16 bytes a row,
+    and the columns ``known_k`` and ``known_v`` are null; beyond that it is joined, and they hold the row's share of it, sorted by key.
+    ``keys``: columns that tell rows apart.
+    """
+    table = cut(table)
+    if table.count() <= most:
+        got = table.toPandas().sort_values("k")
+        shared = df.sparkSession.sparkContext.broadcast((got["k"].to_numpy(np.int64), got["v"].to_numpy(float)))
+        return df.withColumns({"known_k": F.lit(None).cast("array<long>"), "known_v": F.lit(None).cast("array<double>")}), shared
+    schema = df.select(*keys).schema.add("k", "array<bigint>")
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf[keys].copy()
+            out["k"] = [np.unique(asked(t)) for t in pdf[text]]
+            yield out
+
+    each = df.mapInPandas(run, schema).select(*keys, F.explode("k").alias("k")).join(table, "k")
+    mine = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("m"))
+    mine = mine.select(*keys, F.col("m.k").alias("known_k"), F.col("m.v").alias("known_v"))
+    return df.join(mine, keys, "left"), None
+
+
+def values_of(keys: np.ndarray, known: tuple[np.ndarray, np.ndarray], default: float = 0.0) -> np.ndarray:
+    """The values of int64 keys in sorted arrays of keys and values."""
+    k, v = known
+    if not len(k) or not len(keys):
+        return np.full(len(keys), default)
+    at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+    return np.where(k[at] == keys, v[at], default)

@@ -1,6 +1,6 @@
 """Keyword-stuffed and link-list pages (problem 10).
 
-Method: each text is cut into units (lines, sentences).  For every word the gap to its nearest recurrence is
+Method: each text is cut into units (lines, sentences, blocks of one-word lines).  For every word the gap to its nearest recurrence is
 taken, and for lag windows of 1 to ``LAGS`` words the positional autocorrelation.  A unit whose words nearly
 all recur at short, regular gaps, or that is hardly more than links or tags, is unnatural.  From those units
 and from all others the corpus's own word odds are learned, so that lists of distinct promotional nouns are
@@ -17,10 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm.common import BASE, WORD, read
+from casework.llm.common import BASE, WORD, attach, cut, read, values_of
 
 LAGS = 32
 NEAR = 24
+BLOCK = 6  # one-word lines in a row that are read as one unit
 
 # Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = (
@@ -88,8 +89,8 @@ class Units:
             linked[a] += 1
             linked[b] -= 1
         raw = np.cumsum(~keep)[keep]
-        found, self.unit_of = np.unique(raw, return_inverse=True)
         doc = np.repeat(np.arange(len(texts)), doc_len)[keep]
+        found, self.unit_of = np.unique(self._blocks(raw, doc), return_inverse=True)
         self.ids = ids[keep]
         self.size = np.bincount(self.unit_of, minlength=len(found))
         self.doc_of = np.zeros(len(found), np.int64)
@@ -100,6 +101,20 @@ class Units:
         for first, n in links:
             self.n_links[self.unit_of[where[first]]] = n
 
+    @staticmethod
+    def _blocks(raw: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Unit numbers in which ``BLOCK`` or more one-word units in a row (keywords set one to a line) are one unit."""
+        if not len(raw):
+            return raw
+        found, first, size = np.unique(raw, return_index=True, return_counts=True)
+        lone = size == 1
+        # a run goes on while units have one word and lie in one document; blank lines do not end it
+        start = ~lone | np.concatenate(([True], ~lone[:-1] | (doc[first][1:] != doc[first][:-1])))
+        run = np.cumsum(start)
+        long = lone & (np.bincount(run, minlength=run[-1] + 1)[run] >= BLOCK)
+        head = found[np.flatnonzero(start)][run - 1]
+        return np.repeat(np.where(long, head, found), size)
+
     def per_unit(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.unit_of, weights=x, minlength=len(self.size))
 
@@ -148,19 +163,18 @@ def _count(batches):
         yield pd.DataFrame({"word": words, "bad": np.bincount(inv, weights=n).astype(np.int64), "n": np.bincount(inv)})
 
 
-def word_odds(docs: DataFrame, *, min_count: int, lexicon_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and log odds (unnatural against other units) of the corpus's words.
-
-    Counted over all documents; the ``lexicon_words`` most frequent words with at least ``min_count``
-    occurrences are kept, so what is broadcast has 16 bytes times that bound at most.
-    """
+def word_odds(docs: DataFrame, *, min_count: int) -> DataFrame:
+    """k (hash), v (log odds, unnatural against other units) of the words with at least ``min_count`` places in all documents."""
     counts = docs.mapInPandas(_count, "word long, bad long, n long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    counts = counts.where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(lexicon_words).toPandas()
-    bad, other = counts["bad"].to_numpy(float), (counts["n"] - counts["bad"]).to_numpy(float)
-    odds = np.log((bad + 0.5) / (bad.sum() + 1)) - np.log((other + 0.5) / (other.sum() + 1))
-    h = counts["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.clip(odds, -4, 4)[order]
+    counts = cut(counts.where(F.col("n") >= min_count))
+    total = F.broadcast(counts.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("tb"), F.coalesce(F.sum(F.col("n") - F.col("bad")), F.lit(0)).alias("to")))  # one row
+    odds = F.log((F.col("bad") + 0.5) / (F.col("tb") + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (F.col("to") + 1))
+    return counts.crossJoin(total).select(F.col("word").alias("k"), F.greatest(F.lit(-4.0), F.least(F.lit(4.0), odds)).alias("v"))
+
+
+def _asked(text: str | None) -> np.ndarray:
+    u = Units([text])
+    return u.ids[~u.in_link].view(np.int64)
 
 
 def spam_share(
@@ -169,25 +183,30 @@ def spam_share(
     doc_id: str = "doc_id",
     text: str = "text",
     min_count: int = 5,
-    lexicon_words: int = 200_000,
+    broadcast_words: int = 1_000_000,
 ) -> DataFrame:
     """Per document: doc_id, n_words, spam_words, share.
 
     Null, empty and wordless texts have no words and share 0; repeated rows count once; rows with a null id are
-    left out; other columns are ignored whatever their names; an empty table gives no rows.
+    left out; other columns are ignored whatever their names; an empty table gives no rows.  The words' odds are
+    broadcast (16 bytes each) up to ``broadcast_words`` of them, and joined to the documents beyond that; the
+    result is the same.
     """
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    words, odds = word_odds(docs, min_count=min_count, lexicon_words=lexicon_words)
-    shared = documents.sparkSession.sparkContext.broadcast((words, odds))
+    keyed, shared = attach(docs.withColumn("h", F.xxhash64("text")), word_odds(docs, min_count=min_count), _asked, ["doc_id", "h"], "text", most=broadcast_words)
 
     def score(batches):
-        words, odds = shared.value
         for pdf in batches:
             u = Units(pdf["text"].tolist())
             bad = u.unnatural()
             if len(u.ids):
-                at = np.minimum(np.searchsorted(words, u.ids), max(len(words) - 1, 0))
-                o = np.where(words[at] == u.ids, odds[at], 0.0) if len(words) else np.zeros(len(u.ids))
+                ids = u.ids.view(np.int64)
+                if shared is not None:
+                    o = values_of(ids, shared.value)
+                else:
+                    ends = np.cumsum(np.bincount(u.doc_of[u.unit_of], minlength=len(pdf)))
+                    parts = [(ids[a:b], (np.asarray(k, np.int64), np.asarray(v, float)) if k is not None else (ids[:0], ids[:0])) for a, b, k, v in zip(np.concatenate(([0], ends)), ends, pdf["known_k"], pdf["known_v"])]
+                    o = np.concatenate([values_of(x, known) for x, known in parts])
                 own = ~u.in_link & (u.ids & np.uint64(1) == 0)
                 n = np.maximum(u.per_unit(own), 1)
                 bad = bad | (u.per_unit(o * own) / n > 0.5) & (u.per_unit(own) >= 2)
@@ -197,7 +216,7 @@ def spam_share(
                 {"doc_id": pdf["doc_id"], "n_words": total, "spam_words": spam, "share": spam / np.maximum(total, 1)}
             )
 
-    scored = docs.mapInPandas(score, "doc_id long, n_words long, spam_words long, share double")
+    scored = keyed.mapInPandas(score, "doc_id long, n_words long, spam_words long, share double")
     return scored.groupBy("doc_id").agg(F.max(F.struct("share", "n_words", "spam_words")).alias("s")).select(
         "doc_id", "s.n_words", "s.spam_words", "s.share"
     )
