@@ -17,18 +17,18 @@ from pyspark.sql import functions as F
 from casework.llm.common import cut, read
 
 TOKENIZERS = "/opt/tokenizers"
-_ENC: dict[str, object] = {}
+_ENC: dict[int, object] = {}
 
 
-def encoder(path: str, pattern: str):
-    """A tiktoken encoding of the rank file at ``path``; one per process."""
-    if path not in _ENC:
+def encoder(ranks: bytes, pattern: str):
+    """A tiktoken encoding of the bytes of a rank file; one per process."""
+    name = hash((ranks, pattern))
+    if name not in _ENC:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENC[path] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENC[path]
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _ENC[name] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return _ENC[name]
 
 
 def pattern_of(folder: str) -> str:
@@ -40,13 +40,15 @@ def pattern_of(folder: str) -> str:
 
 
 def token_counts(docs: DataFrame, *, text: str, tokenizers: str, vocabulary: str) -> DataFrame:
-    """``docs`` (any columns) with ``text`` replaced by ``tokens``."""
-    path, pattern = f"{tokenizers}/{vocabulary}", pattern_of(tokenizers)
+    """``docs`` (any columns) with ``text`` replaced by ``tokens``.  The rank file is read by the driver and broadcast, about 1 MB."""
+    with open(f"{tokenizers}/{vocabulary}", "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    pattern = pattern_of(tokenizers)
     rest = [c for c in docs.columns if c != text]
     schema = docs.select(*rest).schema.add("tokens", "long")
 
     def run(batches):
-        enc = encoder(path, pattern)
+        enc = encoder(ranks.value, pattern)
         for pdf in batches:
             out = pdf[rest].copy()
             out["tokens"] = [0 if t is None else len(enc.encode_ordinary(t)) for t in pdf[text]]
@@ -63,7 +65,7 @@ def mix(
     text: str = "text",
     source: str = "source",
     seed: int = 42,
-    buckets: int = 256,
+    bucket_rows: int = 50_000,
     total_tokens: int | None = None,
     tokenizers: str = TOKENIZERS,
     vocabulary: str = "byte_bpe_50k.tiktoken",
@@ -76,11 +78,12 @@ def mix(
     cut at the document whose middle token lies beyond its budget, so it misses it by half a document at most.
 
     Rows with a null id, source or text, and empty texts, take no part; repeated rows count once; ties of
-    the random key are broken by id.  Targets that repeat a source: the first by (share, repeats) holds;
+    the random key are broken by id; of two texts under one id the one with fewer tokens counts.  Targets that repeat a source: the first by (share, repeats) holds;
     null or non-positive shares or repeats exclude it.  Empty tables give an empty mixture.
 
-    A hot source does not meet one task: keys are cut in ``buckets`` ranges per source, sums per range are
-    added up first (sources x buckets rows), and only inside a range a window runs.
+    A hot source does not meet one task: keys are cut in ranges of at most some ``bucket_rows`` documents, sums per range
+    are added up first (a row per source and range), and only inside a range a window runs.  The order is by key alone, so
+    the ranges do not change the result.
     """
     t = (
         targets.where("target_share > 0 and max_repeats > 0 and source is not null")
@@ -95,10 +98,12 @@ def mix(
     counted = cut(
         token_counts(d, text="_text", tokenizers=tokenizers, vocabulary=vocabulary)
         .where("tokens > 0")
-        .dropDuplicates(["doc_id", "source"])
+        .groupBy("doc_id", "source")
+        .agg(F.min("tokens").alias("tokens"))
     )
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"))
-    keyed = counted.withColumn("_k", key).withColumn("_b", F.pmod(F.shiftrightunsigned("_k", 32), F.lit(buckets)))
+    bits = max(4, (counted.count() // bucket_rows).bit_length())  # as if one source held all
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), 1)
+    keyed = counted.withColumn("_k", key).withColumn("_b", F.shiftrightunsigned("_k", 63 - bits))
     ranges = keyed.groupBy("source", "_b").agg(F.sum("tokens").alias("n"))
     w = Window.partitionBy("source").orderBy("_b")
     before = ranges.select(
