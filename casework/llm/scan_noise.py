@@ -174,22 +174,31 @@ def _pairs(index: dict[str, int], wanted: np.ndarray):
     """
     word = re.compile(r"[^\W\d_]+")
     width = max(1, len(index))
+    most = 200_000  # tokens at once
+
+    def coded(at: list[int], known: list[int]):
+        a, c = np.array(at, np.int64), np.array(known, np.int64)
+        codes = []
+        for o in range(1, min(WINDOW + 1, len(a))):
+            for x, y in ((a[o:], c[:-o]), (a[:-o], c[o:])):
+                k = (x >= 0) & (y >= 0)
+                codes.append(x[k] * width + y[k])
+        return np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
 
     def run(batches):
         for pdf in batches:
             ids: dict[str, int] = {}
-            at, known = [], []
+            at, known, parts = [], [], []
             for t in pdf["text"]:
                 w = word.findall(t.lower())
                 at += [ids.setdefault(x, len(ids)) for x in w] + [-1] * WINDOW  # no window reaches into the next text
                 known += [index.get(x, -1) for x in w] + [-1] * WINDOW
-            a, c = np.array(at, np.int64), np.array(known, np.int64)
-            codes = []
-            for o in range(1, min(WINDOW + 1, len(a))):
-                for x, y in ((a[o:], c[:-o]), (a[:-o], c[o:])):
-                    k = (x >= 0) & (y >= 0)
-                    codes.append(x[k] * width + y[k])
-            code, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
+                if len(at) > most:
+                    parts.append(coded(at, known))
+                    at, known = [], []
+            parts.append(coded(at, known))
+            code, inv = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            n = np.bincount(inv, weights=np.concatenate([k for _, k in parts]), minlength=len(code)).astype(np.int64)
             names = np.array(list(ids), dtype=object)
             use = np.array([wanted[_bit(x)] for x in ids], bool)[code // width] if len(code) else np.zeros(0, bool)
             code, n = code[use], n[use]
@@ -527,6 +536,26 @@ def paragraphs(lines, kinds, edits, joins) -> str:
     return "\n\n".join(out)
 
 
+def _told(lines) -> tuple[dict, dict, set]:
+    """Links by word (the most frequent first), compounds, and shapes of furniture from the lines that a file is told."""
+    fixes: dict[str, list[tuple]] = {}
+    comp: dict[str, bool] = {}
+    shapes: set[str] = set()
+    flag = {"1": True, "0": False, "": None}
+    for e in lines if lines is not None else ():
+        kind, word, *rest = e.split("\t")
+        if kind == "L":
+            meant, n, lo, up, vec = rest
+            fixes.setdefault(word, []).append((meant, int(n), flag[lo], flag[up], np.array(vec.split(","), np.float32) if vec else None))
+        elif kind == "C":
+            comp[word] = bool(flag[rest[0]])
+        else:
+            shapes.add(word)
+    for opts in fixes.values():
+        opts.sort(key=lambda o: (o[1], o[0]), reverse=True)
+    return fixes, comp, shapes
+
+
 class Scans:
     """The scanned files of ``payloads`` (those with a page in ``pages`` that needs_ocr), with what is learned.
 
@@ -570,9 +599,9 @@ class Scans:
         other = F.udf(lambda w: w not in contexts.value, "boolean", useArrow=True)
         meant = cut(link.select(F.col("meant").alias("word")).distinct().where(other("word")))  # the others' vectors are at hand everywhere
         vectors = Vectors(self.files, index, size, meant)
-        link = link.join(vectors.of(meant).withColumnRenamed("word", "meant"), "meant", "left")
-        fixes = cut(link.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("n", "meant", "lo", "up", "vec")), False).alias("o")))
-        sure = words.where("lower > 4 and clean > 0 and not contains(word, '-')").join(fixes, "word", "left_anti").orderBy(F.desc("lower"), "word").limit(frequent).select("word").toPandas()["word"]
+        link = cut(link.join(vectors.of(meant).withColumnRenamed("word", "meant"), "meant", "left"))
+        linked = link.select("word").distinct()
+        sure = words.where("lower > 4 and clean > 0 and not contains(word, '-')").join(linked, "word", "left_anti").orderBy(F.desc("lower"), "word").limit(frequent).select("word").toPandas()["word"]
         safe = spark.sparkContext.broadcast(frozenset(sure))  # words that need no lookup; all others are looked up
         # compounds written with a hyphen, against the same letters written without
         whole = words.where("contains(word, '-')").select(F.col("word").alias("c"), (F.col("clean") + F.col("scanned")).alias("with"), F.regexp_replace("word", "-", "").alias("j"))
@@ -621,12 +650,14 @@ class Scans:
         usual_shapes = (
             shapes.where("again").groupBy(F.col("word").alias("shape")).agg(F.countDistinct("path").alias("n"), F.avg("cuts").alias("cuts")).where("n >= 3 and cuts >= 0.2").select("shape")
         )
-        none = F.lit(None)
-        option = "array<struct<n:bigint,meant:string,lo:boolean,up:boolean,vec:array<float>>>"
-        lookup = fixes.select("word", "o", none.cast("boolean").alias("plain")).unionByName(comp.select("word", none.cast(option).alias("o"), "plain"))
-        mine = asked.where("again is null").select("path", "word").join(lookup, "word").select("path", "word", "o", "plain")
-        mine = mine.unionByName(shapes.join(usual_shapes, F.col("word") == F.col("shape")).select("path", "word", none.cast(option).alias("o"), none.cast("boolean").alias("plain")))
-        mine = mine.distinct().groupBy("path").agg(F.array_sort(F.collect_list(F.struct("word", "plain", "o"))).alias("known"))
+        # what a file is told, a line each: kind, word, and of links the word meant, its places, sure in lower case and else, vector
+        flag = lambda c: F.when(F.col(c), "1").when(~F.col(c), "0").otherwise("")
+        vec = F.coalesce(F.array_join(F.transform("vec", lambda x: x.cast("string")), ","), F.lit(""))
+        told = link.select("word", F.concat_ws("\t", F.lit("L"), "word", "meant", F.col("n").cast("string"), flag("lo"), flag("up"), vec).alias("e"))
+        told = told.unionByName(comp.select("word", F.concat_ws("\t", F.lit("C"), "word", flag("plain")).alias("e")))
+        mine = asked.where("again is null").select("path", "word").join(told, "word").select("path", "e")
+        mine = mine.unionByName(shapes.join(usual_shapes, F.col("word") == F.col("shape")).select("path", F.concat_ws("\t", F.lit("S"), "word").alias("e")))
+        mine = mine.distinct().groupBy("path").agg(F.array_sort(F.collect_list("e")).alias("known"))
         self.work = spread(cut(self.files.join(mine, "path", "left").select("path", "text", "known")))
         v = vectors.top
         mean = np.sum([usual[w] * x for w, x in v.items()], 0) / max(1, sum(usual[w] for w in v)) if v else None
@@ -642,14 +673,7 @@ class Scans:
             for pdf in batches:
                 rows = []
                 for path, text, mine in zip(pdf["path"], pdf["text"], pdf["known"]):
-                    fixes, comp, shapes = {}, {}, set()
-                    for e in mine if mine is not None else ():
-                        if e["o"] is not None:
-                            fixes[e["word"]] = [(x["meant"], x["n"], x["lo"], x["up"], x["vec"]) for x in e["o"]]
-                        elif e["plain"] is not None:
-                            comp[e["word"]] = bool(e["plain"])
-                        else:
-                            shapes.add(e["word"])
+                    fixes, comp, shapes = _told(mine)
                     rows += row(path, *rep.read(text, fixes, comp, shapes))
                 yield pd.DataFrame(rows, columns=names)
 
