@@ -190,4 +190,10 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_items": p8_items}
-SQL: dict[str, str] = {}
+_GRAMS = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS u(i)),
+tg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS s FROM t, unnest(range(1, len(w) - 11)) AS u(i))
+"""
+SQL = {"p8_found": f"{_GRAMS} SELECT DISTINCT doc_id, item_id FROM dg JOIN tg USING (s)"}
