@@ -19,53 +19,27 @@ from pyspark.sql import functions as F
 
 from casework.llm.common import connected, cut, read
 
-# Common given names and their short forms.
+# Common given names of several languages and their usual short forms.
 NICKNAMES = {
-    "alexander": "alex al sandy sasha xander lex",
-    "anthony": "tony",
-    "benjamin": "ben benny benji",
-    "charles": "charlie chuck charley chas",
-    "christopher": "chris kit",
-    "daniel": "dan danny",
-    "dolores": "lola dolly lolita",
-    "dorothy": "dot dottie dotty dolly dora",
-    "edward": "ed eddie ned ted teddy",
-    "elizabeth": "liz beth betty eliza lizzie libby betsy bess",
-    "francoise": "fran fanchon fanfan",
-    "frederick": "fred freddy freddie",
-    "gregory": "greg",
-    "helene": "lena helen nell",
-    "henrietta": "etta hattie hetty",
-    "ignacio": "nacho iggy",
-    "ines": "",
-    "isabella": "bella izzy isa belle",
-    "james": "jim jimmy jamie",
-    "john": "jack johnny",
-    "jose": "pepe",
-    "joseph": "joe joey",
-    "josephine": "jo josie josy",
-    "jurgen": "jorg jogi",
-    "katherine": "kate kathy katie kat kitty kit kay",
-    "leonard": "len leo lenny",
-    "margaret": "maggie meg peg peggy marge greta",
-    "michael": "mike mick mickey",
-    "nathaniel": "nate nat nathan",
-    "oluwaseun": "seun",
-    "patricia": "pat patty trish tricia",
-    "priyanka": "priya",
-    "quentin": "quin quen",
-    "richard": "rich rick dick",
-    "robert": "bob bobby rob robbie bert",
-    "samuel": "sam sammy",
-    "theodore": "theo ted teddy",
-    "thomas": "tom tommy",
-    "ulrike": "uli ulli rike",
-    "victoria": "vicky vic tori vickie",
-    "wei": "",
-    "william": "bill billy will liam willie",
-    "yevgenia": "zhenya genia jenya",
-    "zachary": "zach zack zac",
-}
+    "abigail": "abby gail", "abraham": "abe", "adelaide": "addie", "agnes": "aggie nessa", "albert": "al bert bertie", "alejandro": "alex ale jandro", "alexander": "alex al sandy sasha xander lex",
+    "alexandra": "alex sandra sasha lexi", "alfred": "alf alfie fred", "alice": "ali allie", "alicia": "ali licia", "allison": "allie ali", "amanda": "mandy manda", "amelia": "amy millie", "andrea": "andi", "andrew": "andy drew",
+    "angela": "angie", "anna": "annie nan", "anthony": "tony", "antonio": "tonio toni", "archibald": "archie", "arnold": "arnie", "arthur": "art artie", "barbara": "barb barbie babs", "bartholomew": "bart",
+    "beatrice": "bea trixie", "benjamin": "ben benny benji", "bernard": "bernie", "bradley": "brad", "bridget": "biddy bridie", "calvin": "cal", "cameron": "cam", "carlos": "charly carlitos", "caroline": "carrie caro lina",
+    "cassandra": "cassie sandra", "catherine": "cathy cate cat kitty", "cecilia": "cece celia cissy", "charles": "charlie chuck charley chas", "charlotte": "lottie charlie", "christina": "chris tina chrissy",
+    "christine": "chris tina chrissy", "christopher": "chris kit", "clarence": "clare", "clifford": "cliff", "clinton": "clint", "constance": "connie", "cornelius": "neil corny", "curtis": "curt", "cynthia": "cindy",
+    "daniel": "dan danny", "daniela": "dani", "david": "dave davey", "deborah": "deb debbie", "dennis": "denny", "dolores": "lola dolly lolita", "dominic": "dom nick", "donald": "don donny", "dorothy": "dot dottie dotty dolly dora", "douglas": "doug",
+    "edmund": "ed ned", "eduardo": "edu lalo", "edward": "ed eddie ned ted teddy", "edwin": "ed", "eleanor": "ellie nell nora", "elizabeth": "liz beth betty eliza lizzie libby betsy bess", "ellen": "nell nellie", "emily": "em emmy",
+    "enrique": "quique kike", "ernest": "ernie", "esther": "essie", "eugene": "gene", "evelyn": "evie", "ferdinand": "ferdi", "fernando": "nando", "florence": "flo florrie", "frances": "fran frannie", "francisco": "paco pancho", "francis": "frank", "francoise": "fran fanchon fanfan",
+    "franklin": "frank", "franziska": "franzi", "frederick": "fred freddy freddie", "friedrich": "fritz", "gabriel": "gabe", "gabriela": "gabi", "geoffrey": "geoff jeff", "george": "georgie", "gerald": "gerry jerry", "gertrude": "gertie trudy", "gilbert": "gil", "giovanni": "gianni", "gregory": "greg",
+    "guadalupe": "lupe", "guillaume": "gui", "guillermo": "memo guille", "hans": "hansi", "harold": "harry hal", "heinrich": "heinz heiner", "helen": "nell nellie", "helene": "lena helen nell", "henrietta": "etta hattie hetty", "henry": "hank harry", "herbert": "herb", "howard": "howie",
+    "ignacio": "nacho iggy", "ines": "", "irene": "rena", "isaac": "ike", "isabella": "bella izzy isa belle", "jacob": "jake", "jacqueline": "jackie", "james": "jim jimmy jamie", "janet": "jan", "jeffrey": "jeff", "jennifer": "jen jenny", "jeremy": "jerry", "jerome": "jerry", "jessica": "jess jessie",
+    "joan": "joanie", "johannes": "hannes", "john": "jack johnny", "jonathan": "jon jonny", "jose": "pepe", "joseph": "joe joey", "josephine": "jo josie josy", "joshua": "josh", "judith": "judy", "julia": "jules", "jurgen": "jorg jogi", "katherine": "kate kathy katie kat kitty kit kay", "kenneth": "ken kenny",
+    "kimberly": "kim", "lawrence": "larry laurie", "leonard": "len leo lenny", "leopold": "leo poldi", "lillian": "lily", "louis": "lou louie", "lucille": "lucy", "manuel": "manny manolo", "margaret": "maggie meg peg peggy marge greta", "maria": "marie mari", "martin": "marty", "martha": "marty mattie",
+    "matthew": "matt", "maximilian": "max", "michael": "mike mick mickey", "michelle": "shelly", "mohammed": "mo", "nancy": "nan", "nathaniel": "nate nat nathan", "nicholas": "nick nicky", "oliver": "ollie", "oluwaseun": "seun", "pamela": "pam", "patricia": "pat patty trish tricia", "patrick": "paddy rick",
+    "peter": "pete", "philip": "phil pip", "priyanka": "priya", "quentin": "quin quen", "rachel": "rach", "raymond": "ray", "rebecca": "becky becca", "richard": "rich rick dick", "robert": "bob bobby rob robbie bert", "roberto": "beto", "ronald": "ron ronnie", "samantha": "sam", "samuel": "sam sammy",
+    "sebastian": "seb basti", "stephen": "steve", "steven": "steve", "susan": "sue susie suzy", "theodore": "theo ted teddy", "theresa": "terry tess", "thomas": "tom tommy", "timothy": "tim timmy", "ulrike": "uli ulli rike", "valerie": "val", "victor": "vic", "victoria": "vicky vic tori vickie", "vincent": "vince vinny",
+    "walter": "walt wally", "wei": "", "wilhelm": "willi", "william": "bill billy will liam willie", "yevgenia": "zhenya genia jenya", "zachary": "zach zack zac",
+}
 PLACEHOLDER = re.compile(
     r"^\W*(none|n\W?a|nil|null|unknown|unassigned|tbd|blank|anonymous|undisclosed( recipients)?|illegible|redacted|various|not available|"
     r"no author|author unknown|see attached)\W*$|\b(distribution list|all (site )?staff|mailing list|scanner|copier|printer|mailbox|"
@@ -247,33 +221,54 @@ def parse(s: str, known: Trie) -> list[tuple[str, str, str, bool]]:
     return [reading(rest, given, None)]
 
 
+PART = 2_000  # indexed tokens in a trie at most
+ASKING = 20_000  # tokens that ask it in one task, about
+
+
 def _keys(t: str) -> list[str]:
-    """Shards of a token: one edit leaves the first or the last letters of a name alone, three of eight or more, two of fewer,
-    one of up to four; of tokens of up to two it may leave none alone, so these have a shard of their own."""
-    k = 3 if len(t) >= 8 else 2
-    # neighbours of the length next to the change of ``k`` must meet
-    ks = {3, 2} if len(t) in (7, 8) else {k}
-    if len(t) <= 4:
-        ks |= {1}
-    return sorted({f"{x}<{t[:x]}" for x in ks} | {f"{x}>{t[-x:]}" for x in ks} | ({"short"} if len(t) <= 2 else set()))
+    """Shards of a token, by its first and its last ``k`` letters, where 2 k < length.
+
+    One edit, be it a swap, lies outside of the first or of the last ``k`` letters.  Two tokens one edit apart are of one length
+    or of neighbouring ones, so each is filed with the ``k`` of its own length and of the one below.  Tokens of up to three
+    letters also share a shard.
+    """
+    n = len(t)
+    ks = {(n - 1) // 2, (n - 2) // 2} - {0, -1}
+    return sorted({f"{k}<{t[:k]}" for k in ks} | {f"{k}>{t[-k:]}" for k in ks} | ({"short"} if n <= 3 else set()))
 
 
 def _walk_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    trie = Trie(pdf.loc[pdf["indexed"], "token"])
-    rows = [(t, o, d) for t in pdf["token"] for o, d in trie.within_one(t).items()]
-    return pd.DataFrame(rows, columns=["token", "other", "dist"])
+    rows = set()
+    for _, part in pdf.groupby(["shard", "part"], sort=False):
+        mine = part[part["role"] == 1]["token"]
+        if len(mine):
+            trie = Trie(mine)
+            rows.update((t, o, d) for t in part[part["role"] == 0]["token"] for o, d in trie.within_one(t).items())
+    return pd.DataFrame(sorted(rows), columns=["token", "other", "dist"])
 
 
 def trie_join(tokens: DataFrame) -> DataFrame:
     """token, other, dist (0 or 1): the indexed tokens within one edit of each token.
 
-    ``tokens``: token string (distinct), indexed boolean.
+    ``tokens``: token string (distinct), indexed boolean.  A shard of more than ``PART`` indexed tokens is split by hash into
+    tries that all its tokens ask, and these are dealt to several tasks; small shards share a task.
     """
     keys = F.udf(_keys, "array<string>", useArrow=True)
-    sharded = tokens.select("token", "indexed", F.explode(keys("token")).alias("shard"))
-    return sharded.groupBy("shard").applyInPandas(_walk_shard, "token string, other string, dist int").groupBy("token", "other").agg(
-        F.min("dist").alias("dist")
-    )
+    sharded = cut(tokens.select("token", "indexed", F.explode(keys("token")).alias("shard")))
+    load = sharded.groupBy("shard").agg(F.count_if("indexed").alias("held"), F.count(F.lit(1)).alias("n")).where("held > 0 and n > 1")
+    load = load.select("shard", F.ceil(F.col("held") / PART).cast("int").alias("parts"), F.ceil(F.col("n") / ASKING).cast("int").alias("shares"))
+    s = sharded.join(load, "shard")
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    held = s.where("indexed").withColumn("part", F.pmod(F.xxhash64("token"), F.col("parts")).cast("int"))
+    held = held.select("shard", "part", numbers("shares").alias("share"), F.lit(1).alias("role"), "token")
+    asking = s.withColumn("share", F.pmod(F.xxhash64("token", F.lit(1)), F.col("shares")).cast("int"))
+    asking = asking.select("shard", numbers("parts").alias("part"), "share", F.lit(0).alias("role"), "token")
+    both = held.unionByName(asking)
+    calls = max(1, sharded.count() // ASKING) * 8
+    both = both.withColumn("call", F.pmod(F.xxhash64("shard", "part", "share"), F.lit(calls)))
+    near = both.groupBy("call").applyInPandas(_walk_shard, "token string, other string, dist int")
+    own = tokens.where("indexed").select("token", F.col("token").alias("other"), F.lit(0).alias("dist"))  # also of shards with one token
+    return near.unionByName(own).groupBy("token", "other").agg(F.min("dist").alias("dist"))
 
 
 def neighbours(tokens: DataFrame) -> DataFrame:
@@ -290,32 +285,31 @@ def neighbours(tokens: DataFrame) -> DataFrame:
     return trie_join(tokens).unionByName(alike).groupBy("token", "other").agg(F.min("dist").alias("dist"))
 
 
-def link_names(names: DataFrame, *, max_given: int = 20_000, strong: int = 3) -> DataFrame:
+def given_names(strings: DataFrame, *, least: int = 3) -> DataFrame:
+    """given: what stands as a given name in ``Family, Given`` forms (column name) with ``least`` families or more."""
+
+    def evidence(batches):
+        for pdf in batches:
+            rows = [e for e in map(given_evidence, pdf["name"]) if e]
+            yield pd.DataFrame(rows, columns=["given", "family"])
+
+    return strings.mapInPandas(evidence, "given string, family string").groupBy("given").agg(F.countDistinct("family").alias("n")).where(F.col("n") >= least).select("given")
+
+
+def link_names(names: DataFrame, *, strong: int = 3) -> DataFrame:
     """name, entity: the distinct strings of ``names`` (one string column) that name somebody.
 
     ``entity`` is the least string of the class.  Null and empty strings and placeholders are left out; repeated
     rows count once; an empty table gives no rows.  Given names are learned from ``Family, Given`` forms:
-    those met with three families or more, at most ``max_given`` of them (the most frequent), besides the
-    usual ones.  Two family names one edit apart are taken for one unless each is spelled so in ``strong``
+    those met with three families or more, besides the usual ones; they are at the driver and broadcast, and
+    as a language has only so many given names, their number is bounded by the languages and not by the rows.  Two family names one edit apart are taken for one unless each is spelled so in ``strong``
     strings with that given name.
     """
     spark = names.sparkSession
     col = names.columns[0]
     strings = cut(names.select(F.col(col).cast("string").alias("name")).where("length(trim(name)) > 0").distinct())
 
-    def evidence(batches):
-        for pdf in batches:
-            rows = [e for e in map(given_evidence, pdf["name"]) if e]
-            yield pd.DataFrame(rows, columns=["given", "family"])
-
-    learned = (
-        strings.mapInPandas(evidence, "given string, family string")
-        .groupBy("given")
-        .agg(F.countDistinct("family").alias("n"))
-        .where("n >= 3")
-        .orderBy(F.desc("n"), "given")
-        .limit(max_given)
-    )
+    learned = given_names(strings)
     known = sorted({r["given"] for r in learned.collect()} | set(_SHORT))
 
     def read_names(batches):
