@@ -6,7 +6,10 @@ candidates, the more probable and longer one first where spans overlap.
 
 The trees are fitted at run time on a bounded sample of candidates whose label is certain from their
 surroundings (a telltale word before them, or a form that nothing else has); all others are left to the
-model.  How family names end is counted over the whole corpus.
+model.  A pair of capitalised words, with initials or particles between, or set apart by a comma, is a candidate for a name
+whatever the words; it is certain where the family name stands in an address of the same text (a name), or where its
+words are used in lower case there or a firm's form follows (none).  How family names end, and which words stand as given
+names in front of many of them, is counted over the whole corpus, beside a table of usual given names.
 """
 
 from __future__ import annotations
@@ -15,13 +18,14 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm.common import cut, read, spread
-from casework.llm.name_variants import NICKNAMES, fold
+from casework.llm.common import attach, cut, read, spread, values_of
+from casework.llm.name_variants import NICKNAMES, TITLES, fold
 
-GIVEN = frozenset(NICKNAMES) | {n for v in NICKNAMES.values() for n in v.split()} | {"jogi", "quen", "hen"}
+GIVEN = frozenset(NICKNAMES) | {n for v in NICKNAMES.values() for n in v.split()}
 TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 
 _DOT = r"\s?[\[(]\s?dot\s?[\])]\s?|\s+dot\s+"
@@ -78,7 +82,7 @@ _ID_WORD = re.compile(
     r"\b(ssn|soc(ial)?(\W+sec(urity)?)?|tax(payer)?\W+id\w*|tin|passport|pass\w*|licen[cs]e|dl|insurance|nino|ni|identity|ausweis|steuer\w*|dni|nif)\b\W*(no|number|nr|num|n[º°o])?\W*$", re.I
 )
 _OTHER_WORD = re.compile(
-    r"\b(tracking|control|version|part|order|docket|case|serial|invoice|account|section|ref\w*|item|batch|lot|model|page|exhibit|sku|rxl|hash|isbn|file|box)\b[\s#:]*(no|number|nr|id)?\W*$", re.I
+    r"\b(tracking|control|version|part|order|docket|case|serial|invoice|account|section|ref\w*|item|batch|lot|model|page|exhibit|sku|hash|isbn|file|box)\b[\s#:]*(no|number|nr|id)?\W*$", re.I
 )
 _TITLE = re.compile(r"\b(Dr|Mr|Mrs|Ms|Miss|Prof|Mme|M|Mlle|Frau|Herrn?|Sra?|señora?|Don|Doña)\.?\s+$", re.I)
 _PERSON_WORD = re.compile(
@@ -110,21 +114,25 @@ def _raised(t: str) -> str:
     return _LOWER.sub(lambda m: re.sub(r"[^\W\d_]+", word, m.group()), t)
 
 
-def _names(t: str) -> list[tuple[int, int, dict]]:
-    """Candidate names with their features: (from, to, {given, family, initials, comma, broken, lower})."""
+_TITLES = {"Mister", "Miss", "Frau", "Herr", "Herrn", "Fräulein", "Madame", "Mademoiselle", "Monsieur", "Señor", "Señora", "Señorita", "Doña", "Professor", "Doctor", "Doktor", "Judge"}
+_FIRM = re.compile(r"^,? (?:GmbH|Inc|LLC|LLP|L\.L\.P|Ltd|Corp|Co|S\.A|AG|plc|Company|Partners|Group|Labs|Systems)\b")
+
+
+def _names(t: str, given: frozenset[str] = GIVEN) -> list[tuple[int, int, dict]]:
+    """Candidate names with their features: (from, to, {given, family, initials, comma, broken, lower, first}); given 0 without a known given name."""
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(t)]
     n = len(words)
     folded: list[str] = []
     kind: list[str] = []  # g given, c capitalised, i initial, p particle, l lower
     for a, b, w in words:
         bare = w.rstrip(".")
-        f = fold(bare) if bare[:1].isupper() or bare in GIVEN or len(bare) > 2 and not bare.isascii() else bare
+        f = fold(bare) if bare[:1].isupper() or bare in given or len(bare) > 2 and not bare.isascii() else bare
         folded.append(f)
         if len(bare) == 1 and bare.isupper():
             kind.append("i")
-        elif f in GIVEN and (bare[:1].isupper()):
+        elif f in given and (bare[:1].isupper()):
             kind.append("g")
-        elif f in GIVEN:
+        elif f in given:
             kind.append("h")
         elif bare.lower() in _PARTICLE:
             kind.append("p")
@@ -155,6 +163,17 @@ def _names(t: str) -> list[tuple[int, int, dict]]:
     def tail(w: str) -> str:
         return re.sub(r"['’]s$", "", w.rstrip("."))
 
+    def shaped(i: int) -> int:
+        """The word that closes a run: a capitalised one, then initials or particles, three at most, then another; 0 without."""
+        j = i
+        while joined(j) == 1 and kind[j + 1] in "ip" and j - i < 3:
+            j += 1
+        return j + 1 if joined(j) == 1 and kind[j + 1] == "c" else 0
+
+    def behind(i: int) -> bool:
+        """The word stands right behind a given name, initial or particle, and belongs to it."""
+        return i > 0 and kind[i - 1] in "gip" and joined(i - 1) > 0
+
     for i in range(n):
         k = kind[i]
         if k in "gh":
@@ -209,6 +228,10 @@ def _names(t: str) -> list[tuple[int, int, dict]]:
                     while joined(j) == 1 and kind[j + 1] == "i" and j < i + 3:
                         j += 1
                     out.append((words[first][0], words[j][1], {"given": 0, "fam": fam, "initials": j - i, "comma": 1, "broken": "\n" in g, "lower": lower}))
+                elif kind[i + 1] == "c" and not lower and "\n" not in g and fam not in _TITLES and not behind(i):
+                    out.append((words[first][0], words[i + 1][0] + len(tail(words[i + 1][2])), {"given": 0, "fam": fam, "initials": 0, "comma": 1, "broken": False, "lower": False, "first": tail(words[i + 1][2])}))
+            elif not lower and joined(i) == 1 and not fam.endswith(".") and fam not in _TITLES and not behind(i) and (z := shaped(i)):
+                out.append((words[i][0], words[z][0] + len(tail(words[z][2])), {"given": 0, "fam": tail(words[z][2]), "initials": z - i - 1, "comma": 0, "broken": False, "lower": False, "first": fam}))
             elif not lower and joined(i) == 1 and kind[i + 1] == "g" and not fam.endswith("."):
                 follows = joined(i + 1) == 1 and kind[i + 2] in "ci"
                 out.append((words[i][0], words[i + 1][1], {"given": 1, "fam": fam, "initials": 0, "comma": 0, "broken": False, "lower": False, "turned": 1, "follows": tail(words[i + 2][2]) if follows else ""}))
@@ -225,9 +248,26 @@ def _emails(t: str):
         yield from _EMAIL.finditer(t, max(a, sign.start() - 400), done)
 
 
-def candidates(t: str, endings: dict[str, float]) -> list[tuple[str, int, int, list[float], int]]:
-    """(type, from, to, features, label) of all proposed spans; label 1 or 0 where certain, else -1."""
+_NONE = (np.zeros(0, np.int64), np.zeros(0))
+
+
+def _key(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
+def _asked(text: str) -> np.ndarray:
+    """Keys of the capitalised words of a text."""
+    return np.array([_key(w) for w in {fold(x) for x in re.findall(r"[A-ZÀ-Þ][^\W\d_]+", text)}], np.int64)
+
+
+def candidates(t: str, endings: dict[str, float], given: frozenset[str] = GIVEN, firsts=_NONE) -> list[tuple[str, int, int, list[float], int]]:
+    """(type, from, to, features, label) of all proposed spans; label 1 or 0 where certain, else -1.
+
+    ``firsts``: sorted keys of words, and of the words that stand behind each the share that are family names.
+    """
     found = []
+    seen: list[str] = []  # the addresses' names
+    plain: set[str] = set()  # the words in lower case
 
     def context(a: int, b: int):
         before = t[max(0, a - 40) : a]
@@ -249,13 +289,14 @@ def candidates(t: str, endings: dict[str, float]) -> list[tuple[str, int, int, l
         x = [float(v) for v in x] + special
         found.append((kind, a, b, x, label(before, s, x) if callable(label) else label))
 
-    none = [0.0] * 9
+    none = [0.0] * 10
     for m in _emails(t):
         spelled = "@" not in m.group()
         last = re.split(r"[^\w]+", m.group())[-1].lower()
         blank = bool(re.search(r"\sat\s", m.group(), re.I)) and spelled
         dotted = bool(re.search(r"\bdot\b", m.group(), re.I)) or not blank
         local = re.split(r"\W", m.group())[0]
+        seen.append(fold(re.split(r"@|\s|[\[(]", m.group())[0]))
         add("EMAIL", m.start(), m.end(), (1 if not spelled or not blank else 1 if dotted and re.search(r"\bdot\b", m.group(), re.I) else -1 if "." in m.group() and re.search(r"[\d_.+]", local) else 0), [float(spelled), float(blank), float(dotted), float(len(last) > 1)] + none[4:])
     for m in _PHONE.finditer(t):
         a, s = m.start(), m.group()
@@ -286,21 +327,32 @@ def candidates(t: str, endings: dict[str, float]) -> list[tuple[str, int, int, l
         add("ID", m.start(), m.end(), lab, [float(bool(v)) for v in shape] + none[6:])
     for m in _ADDRESS.finditer(_raised(t)):
         add("ADDRESS", m.start(), m.end(), 1, none)
-    for a, b, f in _names(t):
+    logins = " ".join(seen)
+    for a, b, f in _names(t, given):
         end = endings.get(fold(f["fam"])[-3:], -4.0)
         nxt = endings.get(fold(f["follows"])[-3:], -4.0) if f.get("follows") else -6.0
         fam = max(re.split(r"[-'’]", f["fam"]), key=len)
         turned = float(f.get("turned", 0))
         label = -1
-        if f["given"] and not f["comma"] and not turned:
-            label = 1 if end > 0.5 else 0 if end < -2 else -1
+        known = len(fam) > 4 and fold(fam) in logins
+        share = 0.5
+        if "first" in f:  # by shape alone
+            share = float(values_of(np.array([_key(fold(f["first"]))]), firsts, 0.5)[0])
+            if not plain and t:
+                plain = {x.strip(".,;:()!?\"'") for x in t.split() if x[:1].islower() or x[:1] in "(\"'"}
+            if f["first"].lower() in plain or f["fam"].lower() in plain or share < 0.1 or _FIRM.match(t[b : b + 16]):
+                label = 0
+            elif known:
+                label = 1
+        elif f["given"] and not f["comma"] and not turned:
+            label = 1 if known or end > 0.5 else 0 if end < -2 else -1
         elif f["given"]:
             label = 1 if end > 0.5 and nxt < 0 else 0 if end < -1 or nxt > end else -1
         elif end < -0.5 or len(fam) < 5:
             label = 0
-        elif end > 1:
+        elif known or end > 1:
             label = 1
-        add("NAME", a, b, label, [float(f["given"]), float(f["initials"]), float(f["comma"]), float(f["broken"]), float(f["lower"]), end, nxt, float(len(fam)), turned])
+        add("NAME", a, b, label, [float(f["given"]), float(f["initials"]), float(f["comma"]), float(f["broken"]), float(f["lower"]), end, nxt, float(len(fam)), share, turned - float("first" in f)])
     return found
 
 
@@ -371,11 +423,14 @@ class Boosted:
         return 1 / (1 + np.exp(-np.clip(self.a * self.raw(x) + self.b, -30, 30)))
 
 
-def family_endings(texts: DataFrame) -> dict[str, float]:
-    """Log odds of the last three letters of words that stand behind given names against those of other capitalised words.
+def learn(texts: DataFrame, *, families: int = 3) -> tuple[dict[str, float], frozenset[str], DataFrame]:
+    """How family names end, the given names, and what stands behind any capitalised word, counted over all texts.
 
-    Counted over all texts; every distinct word weighs one, by the share of its places behind a given name.
-    There are at most as many entries as endings of three letters.
+    Endings: log odds of the last three letters of words that stand behind given names against those of other capitalised
+    words; every distinct word weighs one, by the share of its places behind a given name.  There are at most as many as
+    endings of three letters.  Given names: the usual ones, and words that stand in front of at least ``families`` words
+    that also stand behind usual given names, and hardly of others; both are bounded by the languages, not by the rows.  Last a table (k, v): of the different words behind
+    a word, if there are ``families`` or more, the share that are families.
     """
 
     def count(batches):
@@ -383,41 +438,57 @@ def family_endings(texts: DataFrame) -> dict[str, float]:
         cap = re.compile(r"\b[A-ZÀ-Þ][^\W\d_]{4,}")
         for pdf in batches:
             seen: dict[str, list[int]] = {}
+            pairs: set[tuple[str, str]] = set()
             for t in pdf["text"]:
                 for w in cap.findall(t):
                     seen.setdefault(w, [0, 0])[1] += 1
                 for g, w in pair.findall(t):
-                    if g[:1].isupper() and fold(g) in GIVEN and fold(w) not in GIVEN and w in seen:
-                        seen[w][0] += 1
-            yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["word", "after", "n"])
+                    if g[:1].isupper() and w in seen:
+                        if len(g) > 2:
+                            pairs.add((g, w))
+                        if fold(g) in GIVEN and fold(w) not in GIVEN:
+                            seen[w][0] += 1
+            yield pd.DataFrame([("", k, *v) for k, v in seen.items()] + [(fold(g), w, 0, 0) for g, w in pairs], columns=["first", "word", "after", "n"])
 
     ending = F.udf(lambda w: fold(w)[-3:], "string", useArrow=True)
-    by_word = texts.mapInPandas(count, "word string, after long, n long").groupBy("word").agg((F.sum("after") / F.sum("n")).alias("p"))
-    c = by_word.groupBy(ending("word").alias("ending")).agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("o")).toPandas()
+    counted = cut(texts.mapInPandas(count, "first string, word string, after long, n long").groupBy("first", "word").agg(F.sum("after").alias("after"), F.sum("n").alias("n")))
+    by_word = counted.where("first = ''").select("word", (F.col("after") / F.col("n")).alias("p"))
+    c = by_word.groupBy(ending("word").alias("ending")).agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("o")).orderBy("ending").toPandas()
     if not len(c):
-        return {}
+        return {}, GIVEN, texts.sparkSession.createDataFrame([], "k long, v double")
     a, o = c["a"].to_numpy(float), c["o"].to_numpy(float)
     odds = np.log((a + 0.3) / (a.sum() + 1)) - np.log((o + 0.3) / (o.sum() + 1))
-    return dict(zip(c["ending"], np.clip(odds, -4, 4)))
+    endings = dict(zip(c["ending"], np.clip(odds, -4, 4)))
+    # the words that also stand behind a usual given name are families
+    given = cut(counted.where("first <> ''").select("first", "word").join(by_word, "word").groupBy("first").agg(F.count_if(F.col("p") > 0).alias("k"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= families))
+    firsts = given.select(F.udf(_key, "long", useArrow=True)("first").alias("k"), (F.col("k") / F.col("n")).alias("v"))
+    found = given.where((F.col("k") >= families) & (F.col("k") >= 0.5 * F.col("n"))).select("first").toPandas()["first"]
+    titles = {fold(x) for x in _TITLES} | TITLES
+    return endings, GIVEN | {x for x in found if x not in _PARTICLE and x not in titles}, firsts
+
+
+def _group(c) -> str:
+    """Candidates that share a threshold: those of a kind, names by shape alone apart."""
+    return "SHAPE" if c[0] == "NAME" and c[3][-1] < 0 else c[0]
 
 
 class Detector:
     """The fitted model with what it needs; small enough to be broadcast."""
 
-    def __init__(self, endings: dict[str, float], model: Boosted | None, cut_at: dict[str, float]):
-        self.endings, self.model, self.cut_at = endings, model, cut_at
+    def __init__(self, endings: dict[str, float], model: Boosted | None, cut_at: dict[str, float], given: frozenset[str] = GIVEN):
+        self.endings, self.model, self.cut_at, self.given = endings, model, cut_at, given
 
     def spans(self, t: str) -> list[tuple[str, int, int]]:
-        return self.all_spans([t])[0]
+        return self.all_spans([t], [_NONE])[0]
 
-    def all_spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        """The spans of each text; the trees see all candidates at once."""
-        each = [candidates(t, self.endings) for t in texts]
+    def all_spans(self, texts: list[str], firsts: list) -> list[list[tuple[str, int, int]]]:
+        """The spans of each text, with what it is told of first words; the trees see all candidates at once."""
+        each = [candidates(t, self.endings, self.given, f) for t, f in zip(texts, firsts)]
         flat = [x[3] for c in each for x in c]
         if not flat:
             return [[] for _ in texts]
         if self.model is None:
-            p = np.array([1.0 if x[4] else 0.0 for c in each for x in c])
+            p = np.array([1.0 if x[4] == 1 else 0.0 for c in each for x in c])
         else:
             p = self.model.prob(np.array(flat))
         ends = np.cumsum([len(c) for c in each])
@@ -428,38 +499,54 @@ class Detector:
         order = sorted(range(len(c)), key=lambda i: (-round(float(p[i]), 1), -(c[i][2] - c[i][1]), c[i][1], c[i][0]))
         for i in order:
             kind, a, b = c[i][:3]
-            if p[i] >= self.cut_at.get(kind, 0.5) and all(b <= y or a >= z for _, y, z in kept):
+            if p[i] >= self.cut_at.get(_group(c[i]), 0.5) and all(b <= y or a >= z for _, y, z in kept):
                 kept.append((kind, a, b))
         return sorted(kept, key=lambda s: s[1])
 
 
-def fit(texts: DataFrame, *, sample: int = 4_000, most: int = 200_000, seed: int = 11) -> Detector:
-    """Fits the detector; at most ``sample`` texts, drawn by hash, give at most ``most`` training candidates."""
-    endings = family_endings(texts)
+def _firsts(pdf: pd.DataFrame, shared) -> list:
+    """What each row is told of first words: the broadcast table, or its own share of it."""
+    if shared is not None:
+        return [shared.value] * len(pdf)
+    return [_NONE if k is None else (np.asarray(k, np.int64), np.asarray(v, float)) for k, v in zip(pdf["known_k"], pdf["known_v"])]
+
+
+def fit(texts: DataFrame, *, sample: int = 4_000, most: int = 200_000, seed: int = 11, broadcast_words: int = 1_000_000):
+    """``texts`` with what they are told of first words, its broadcast or None, and the fitted detector.
+
+    At most ``sample`` texts, drawn by hash, give at most ``most`` training candidates.  The table of first words is broadcast
+    (16 bytes each) up to ``broadcast_words`` of them and joined to the texts beyond that, with the same result.
+    """
+    endings, given, firsts = learn(texts)
+    texts, shared = attach(texts.withColumn("h", F.xxhash64("text")), firsts, _asked, ["path", "h"], "text", most=broadcast_words)
 
     def label(batches):
         for pdf in batches:
-            rows = [(x, k == 1, t) for s in pdf["text"] for t, _, _, x, k in candidates(s, endings) if k >= 0]
+            rows = [(c[3], c[4] == 1, _group(c)) for s, f in zip(pdf["text"], _firsts(pdf, shared)) for c in candidates(s, endings, given, f) if c[4] >= 0]
             yield pd.DataFrame(rows, columns=["x", "y", "kind"])
 
     cores = texts.sparkSession.sparkContext.defaultParallelism
-    drawn = texts.orderBy(F.xxhash64(F.lit(seed), "text")).limit(sample).repartition(cores)
-    rows = drawn.mapInPandas(label, "x array<double>, y boolean, kind string").limit(most).toPandas()
+    drawn = texts.orderBy(F.xxhash64(F.lit(seed), "text"), "text", "path").limit(sample).repartition(cores)
+    rows = drawn.mapInPandas(label, "x array<double>, y boolean, kind string").orderBy(F.xxhash64("x", "kind"), "kind", "y").limit(most).toPandas()
+    return texts, shared, _fitted(rows, endings, given, seed)
+
+
+def _fitted(rows: pd.DataFrame, endings, given, seed: int) -> Detector:
     if len(rows) < 50 or rows["y"].nunique() < 2:
-        return Detector(endings, None, {})
+        return Detector(endings, None, {}, given)
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float)
     held = np.random.default_rng(seed).random(len(y)) < 0.3
     if held.all() or not held.any() or len(set(y[~held])) < 2:
-        return Detector(endings, None, {})
+        return Detector(endings, None, {}, given)
     model = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
-    p, cut_at = model.prob(x[held]), {}
-    for kind in TYPES:  # the threshold with the best F1 on held-out candidates, nearest to one half
+    p, cut_at = model.prob(x[held]), {"SHAPE": 0.95}
+    for kind in (*TYPES, "SHAPE"):  # the threshold with the best F1 on held-out candidates, nearest to one half
         m = (rows["kind"].to_numpy() == kind)[held]
         if m.any():
-            grid = sorted(np.linspace(0.2, 0.8, 13), key=lambda c: abs(c - 0.5))
+            grid = sorted(np.linspace(0.2, 0.8, 13) if kind != "SHAPE" else np.linspace(0.5, 0.95, 10), key=lambda c: abs(c - 0.5))
             score = [2 * ((p[m] >= c) & (y[held][m] > 0)).sum() / max(1, (p[m] >= c).sum() + y[held][m].sum()) for c in grid]
             cut_at[kind] = float(grid[int(np.argmax(np.round(score, 4)))])
-    return Detector(endings, model, cut_at)
+    return Detector(endings, model, cut_at, given)
 
 
 def _texts(payloads: DataFrame) -> DataFrame:
@@ -473,13 +560,13 @@ def find(payloads: DataFrame, *, sample: int = 4_000) -> DataFrame:
     gives the items of both; other columns are ignored whatever their names; an empty table gives no rows.
     Where there are too few certain candidates to fit trees, the certain ones alone are kept.
     """
-    t = spread(cut(_texts(payloads)))
-    shared = payloads.sparkSession.sparkContext.broadcast(fit(t, sample=sample))
+    t, firsts, detector = fit(spread(cut(_texts(payloads))), sample=sample)
+    shared = payloads.sparkSession.sparkContext.broadcast(detector)
 
     def run(batches):
         det = shared.value
         for pdf in batches:
-            found = det.all_spans(pdf["text"].tolist())
+            found = det.all_spans(pdf["text"].tolist(), _firsts(pdf, firsts))
             rows = [(p, k, a, b, s[a:b]) for p, s, f in zip(pdf["path"], pdf["text"], found) for k, a, b in f]
             yield pd.DataFrame(rows, columns=["path", "entity", "char_from", "char_to", "text"])
 
@@ -488,22 +575,22 @@ def find(payloads: DataFrame, *, sample: int = 4_000) -> DataFrame:
 
 def redact(payloads: DataFrame, *, sample: int = 4_000) -> DataFrame:
     """path, text with each item replaced by its type in brackets; everything else is kept as it is."""
-    t = spread(cut(_texts(payloads)))
-    shared = payloads.sparkSession.sparkContext.broadcast(fit(t, sample=sample))
+    t, firsts, detector = fit(spread(cut(_texts(payloads))), sample=sample)
+    shared = payloads.sparkSession.sparkContext.broadcast(detector)
 
     def run(batches):
         det = shared.value
         for pdf in batches:
             out = []
-            for s, found in zip(pdf["text"], det.all_spans(pdf["text"].tolist())):
+            for s, found in zip(pdf["text"], det.all_spans(pdf["text"].tolist(), _firsts(pdf, firsts))):
                 parts, at = [], 0
                 for k, a, b in found:
                     parts += [s[at:a], f"[{k}]"]
                     at = b
                 out.append("".join(parts) + s[at:])
-            yield pdf.assign(text=out)
+            yield pd.DataFrame({"path": pdf["path"], "text": out})
 
-    return t.mapInPandas(run, t.schema)
+    return t.mapInPandas(run, "path string, text string")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -505,3 +505,78 @@ def test_frames_ignore_clashing_columns(spark):
     df = spark.createDataFrame([(1, "one two three four five six", "x", 2)], "doc_id long, text string, n_words string, bad long")
     assert keyword_spam.spam_share(df).columns == ["doc_id", "n_words", "spam_words", "share"]
     assert df.select(F.col("text")).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("We met David Johnson today.", "David Johnson"), ("Ask Maria Fernandez about it.", "Maria Fernandez"), ("Then Mohammed Al-Sayed left.", "Mohammed Al-Sayed"),
+        ("I wrote to Susan Whitaker.", "Susan Whitaker"), ("It was Jennifer Okafor who called.", "Jennifer Okafor"), ("Nguyen, Linh signed.", "Nguyen, Linh"),
+        ("Zyx Q. Robertson signed.", "Q. Robertson"), ("He saw Vashti de Montfort there.", "Vashti de Montfort"),
+    ],
+)
+def test_name_candidates_by_shape(text, name):
+    assert name in {text[a:b] for k, a, b, _, _ in personal_data.candidates(text, {}) if k == "NAME"}
+
+
+def test_given_names_are_learned(spark):
+    families = ["Robinson", "Peterson", "Anderson", "Harrison", "Jackson"]
+    usual = [f"I met {g} {f} there." for g in ("Robert", "Thomas", "Susan") for f in families]
+    new = [f"I met Vashti {f} there." for f in families] + ["The Annex Cabinet stood in the Outer Office of the Second Tower."] * 3
+    df = spark.createDataFrame([(x,) for x in usual + new], "text string")
+    endings, given, firsts = personal_data.learn(df)
+    share = {r["k"]: r["v"] for r in firsts.collect()}
+    assert share[personal_data._key("vashti")] == 1.0
+    assert endings["son"] > 0.5 and "vashti" in given and "annex" not in given and "outer" not in given
+    assert personal_data.learn(df.limit(0))[:2] == ({}, personal_data.GIVEN)
+
+
+def test_uncertain_candidates_are_left_out_without_a_model():
+    d = personal_data.Detector({}, None, {})
+    assert d.spans("call Annex Cabinet 12") == []
+
+
+def test_spam_lexicon_joined_or_broadcast(spark):
+    docs = [(k, "cheap toner ink cheap toner ink cheap toner ink cheap toner ink.\nThe clerk sent the letter to the office on Monday.") for k in range(8)]
+    docs += [(20, "toner ink kit"), (21, None), (22, ""), (20, "toner ink kit"), (23, "\n".join(["toner"] * 20)), (24, "\n".join(f"Exhibit {i}" for i in range(20)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    a = rows(keyword_spam.spam_share(df))
+    assert a == rows(keyword_spam.spam_share(df, broadcast_words=0))
+    share = {r[0]: r[3] for r in a}
+    assert share[20] == 1.0 and share[21] == share[22] == 0 and share[23] == 1.0 and share[24] == 0
+
+
+def test_spam_keywords_one_to_a_line(spark):
+    df = spark.createDataFrame([(1, "\n\n".join(["alpha", "beta"] * 10)), (2, "\n".join(WORDS))], "doc_id long, text string")
+    assert {r["doc_id"]: r["share"] for r in keyword_spam.spam_share(df).collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_name_shards_are_split(spark, monkeypatch):
+    rng = random.Random(3)
+    toks = sorted({"mac" + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(150)} | {"a", "ab", "lee", "lie"})
+    df = spark.createDataFrame([(x, True) for x in toks], "token string, indexed boolean")
+    want = rows(name_variants.trie_join(df))
+    trie = name_variants.Trie(toks)
+    assert want == sorted((x, o, d) for x in toks for o, d in trie.within_one(x).items())
+    monkeypatch.setattr(name_variants, "PART", 7)
+    monkeypatch.setattr(name_variants, "ASKING", 9)
+    assert rows(name_variants.trie_join(df)) == want
+
+
+def test_mixture_does_not_depend_on_ranges(spark):
+    docs = spark.createDataFrame([(k, "word " * (1 + k % 7), "s" if k % 3 else "t") for k in range(90)] + [(5, "another text", "s")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("s", 0.7, 2), ("t", 0.3, 2)], "source string, target_share double, max_repeats int")
+    a = rows(mixing.mix(docs, targets, total_tokens=200))
+    assert a and a == rows(mixing.mix(docs, targets, total_tokens=200, bucket_rows=1)) and len({r[0] for r in a}) == len(a)
+
+
+def test_loose_vectors_are_found(spark):
+    rng = np.random.default_rng(2)
+    c = rng.normal(size=(60, 16))
+    x = np.repeat(c, 6, 0) + rng.normal(size=(360, 16)) * 0.2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"v{i:03}", [float(z) for z in v]) for i, v in enumerate(x)], "id string, vec array<float>")
+    s = x @ x.T - 3 * np.eye(360)
+    want = {(f"v{i:03}", f"v{j:03}") for i in range(360) for j in np.argsort(-s[i])[:3]}
+    got = {(r["id"], r["other"]) for r in neighbours.nearest(df, k=3, sample=40, cells=8, shard_size=50, probes=6).collect()}
+    assert len(got & want) >= 0.9 * len(want)
