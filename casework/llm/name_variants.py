@@ -187,8 +187,8 @@ def parse(s: str, known: Trie) -> list[tuple[str, str, str, bool]]:
         key = "".join(family)
         if given is None:
             return ("person", key, initial or "", True)
-        if given in short and given not in _SHORT:
-            return ("person", key, given, True)
+        if given in short:  # an abbreviation of any name that begins so, or a short form with a dot behind it
+            return ("person", key, " ".join(dict.fromkeys([given, *_SHORT.get(given, [])])), True)
         f = full(given)
         if len(f) == 1:
             return ("person", key, f[0], False)
