@@ -19,23 +19,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+_FROM, _TO = "\u0001", "\u0002"  # signs that no text needs; where one stands, it is read as another
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match>> of all matches, in code points from 0.  The pattern must not match ''.
 
-    The text between the matches and the matches themselves are cut by the same pattern; their lengths add up
-    to the offsets, so nothing leaves the JVM.
+    One pass of the pattern puts a sign before and behind every match; the offsets add up from the lengths of what
+    stands between the signs, so nothing leaves the JVM and the pattern runs once over a text.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
+    plain = F.translate(text, _FROM + _TO, "\ufffd\ufffd")
+    parts = F.split(F.regexp_replace(plain, pattern, f"{_FROM}$0{_TO}"), _FROM, -1)
+    start = F.struct(F.lit(-1).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"])
-        b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["m"].alias("match")))).alias("out"))
+        n = F.locate(_TO, x) - 1
+        found = F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"), F.substring(text, acc["at"] + 1, n).alias("match"))
+        later = F.struct((acc["at"] + F.length(x) - 1).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+        return F.when(acc["at"] < 0, F.struct(F.length(x).alias("at"), acc["out"].alias("out"))).otherwise(later)
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
 def mask_emails(text: Column, by: str = "[REDACTED_EMAIL]") -> Column:

@@ -143,6 +143,35 @@ def totals(records: DataFrame) -> DataFrame:
     )
 
 
+def production_totals(records: DataFrame, labels: DataFrame, plans: DataFrame) -> DataFrame:
+    """One row: the totals, the first and last label (by document order) of ``labels`` (sha256, path, label), and the number of redaction plans.
+
+    ``bates_range`` is null without labels.
+    """
+    order = F.struct("sha256", "path")
+    ends = labels.agg(F.min_by("label", order).alias("a"), F.max_by("label", order).alias("b"))
+    n = plans.agg(F.count(F.lit(1)).alias("redactions"))
+    one = totals(records).crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(n))  # a row each
+    return one.withColumn("bates_range", F.when(F.col("a").isNotNull(), F.concat_ws(" - ", "a", "b"))).drop("a", "b")
+
+
+def methods_appendix(records: DataFrame, ledger: DataFrame, out: str | None = None, *, most: int = 10_000) -> dict:
+    """How a collection was handled: its size and hash, the searches and commands of a ledger (the last ``most`` of each), masked.
+
+    With ``out`` it is also written as JSON.
+    """
+    from casework.operators import review
+
+    last = lambda df: [r.asDict() for r in df.orderBy(F.desc("timestamp")).limit(most).collect()][::-1]
+    body = {
+        "documents": records.count(), "manifest_hash": manifest_hash(records).first()[0],
+        "searches": last(review.search_activity(ledger)), "commands": last(review.command_history(ledger)),
+    }
+    if out is not None:
+        write_report(body, out)
+    return body
+
+
 def sidecars(records: DataFrame, files_: DataFrame, suffix: str) -> DataFrame:
     """The records beside which a file with the same stem and ``suffix`` stands; a semi join on the stem."""
     stem = lambda c: F.regexp_replace(F.col(c), r"\.[^./]+$", "")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from casework.operators import manifest as m
 from casework.operators import package as k
+from casework.operators.detect import PII
+from casework.plans.findings import _P, spans_sql
 from casework.shared import table
 
 
@@ -31,6 +33,15 @@ def report_totals(spark, d):
     return k.totals(_records(spark, d))
 
 
+def production_totals(spark, d):
+    """Totals with the range of labels and the number of redaction plans of a production of all records."""
+    from casework.operators import produce
+    from casework.plans.reviewing import _redactions
+
+    r = _records(spark, d)
+    return k.production_totals(r, produce.number(r, prefix="ABC", width=9), _redactions(spark, d)).select("documents", "bates_range", "redactions")
+
+
 def impact_ratios(spark, d):
     """The share of copies in per cent and the size in MB, both to two places."""
     r = _records(spark, d)
@@ -102,7 +113,7 @@ def benchmark_compare(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        manifest_hash, dataset_hash, schema_counts, report_totals, impact_ratios, impact_json, csv_lines, text_sidecars, sample_by_pages, pdf_only,
+        manifest_hash, dataset_hash, schema_counts, report_totals, production_totals, impact_ratios, impact_json, csv_lines, text_sidecars, sample_by_pages, pdf_only,
         content_hashes, command_json, migrated_records, benchmark_compare,
     )
 }
@@ -125,6 +136,8 @@ SELECT count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(page || '|' || path |
     "schema_counts": f"""{_R}, b AS (SELECT *, coalesce(path = '' OR NOT starts_with(path, '/') OR NOT regexp_matches(sha256, '^[0-9a-f]{{64}}$') OR size < 0 OR extension <> lower(extension), false) OR path IS NULL OR sha256 IS NULL OR doctype IS NULL OR custodian IS NULL AS bad FROM r),
 q AS (SELECT *, bool_or(bad) OVER (PARTITION BY path) AS wrong FROM b) SELECT schema_id, count(*) FILTER (NOT wrong) AS valid, count(*) FILTER (wrong) AS invalid FROM q GROUP BY 1""",
     "report_totals": f"{_R} SELECT count(*) AS documents, CAST(coalesce(sum(TRY_CAST(metadata['pages'] AS BIGINT)), 0) AS BIGINT) AS pages, CAST(sum(size) AS BIGINT) AS bytes, substr(min(mtime), 1, 10) || ' to ' || substr(max(mtime), 1, 10) AS date_range FROM r",
+    "production_totals": f"""{_R}, n AS (SELECT count(*) AS k FROM (SELECT DISTINCT sha256, path FROM manifest)), {_P.replace("p AS", "pp AS", 1)}, {spans_sql('pp', 'path', PII)}
+SELECT count(*) AS documents, 'ABC-000000001 - ABC-' || lpad(CAST((SELECT k FROM n) AS VARCHAR), 9, '0') AS bates_range, (SELECT count(DISTINCT path) FROM f) AS redactions FROM r""",
     "impact_ratios": f"{_R} SELECT count(*) AS discovered, round((count(*) - count(DISTINCT lower(sha256))) * 100.0::DOUBLE / count(*), 2) AS dedupe_percent, round(sum(size) / 1048576.0::DOUBLE, 2) AS mb FROM r",
     "impact_json": f"""{_R}, g AS (SELECT {_C} AS custodian, {_T} AS doctype, count(*) AS n, sum(size) AS b FROM r GROUP BY 1, 2)
 SELECT custodian, '{{"bytes":' || sum(b) || ',"custodian":' || to_json(custodian) || ',"doctypes":[' || string_agg('{{"doctype":"' || doctype || '","n":' || n || '}}', ',' ORDER BY doctype) || '],"n":' || sum(n) || '}}' AS line FROM g GROUP BY custodian""",

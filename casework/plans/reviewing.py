@@ -217,7 +217,7 @@ def redaction_pages(spark, d):
 def highlight_boxes(spark, d):
     """Concept findings on a layout of lines of 60 characters, 30 to a page."""
     docs = _docs(spark, d).where("text is not null")
-    s = x.pattern_findings(docs, "doc_id", {"LEGAL_ADVICE": x.CONCEPTS["LEGAL_ADVICE"][2]})
+    s = x.pattern_findings(docs, "doc_id", {"RESPONSIVE": x.CONCEPTS["RESPONSIVE"][2]})
     marks = k.order_within(s, "doc_id").withColumn("page", F.lit(None).cast("int"))
     n = F.ceil(F.length("text") / 60).cast("int")
     line = docs.where("length(text) > 0").select("doc_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
@@ -371,7 +371,7 @@ SELECT doc_id, sha256(text) AS document_hash, CAST(n AS INTEGER) AS n, array_to_
 g AS (SELECT path, min(page) FILTER (contains(t, 'privilege')) AS a, bool_or(contains(t, 'invoice')) FILTER (page = 1) AS b FROM pg GROUP BY 1)
 SELECT path, 0 AS id, a AS page, CASE WHEN a IS NULL THEN 'not_found' ELSE 'applied' END AS state FROM g UNION ALL SELECT path, 1, 1, CASE WHEN b IS NULL THEN 'page_missing' WHEN b THEN 'applied' ELSE 'not_found' END FROM g
 UNION ALL SELECT path, 2, 999, 'page_missing' FROM g UNION ALL SELECT path, 3, NULL, 'not_found' FROM g""",
-    "highlight_boxes": f"""WITH {_DT}, {spans_sql('t', 'doc_id', {'LEGAL_ADVICE': _CONCEPTS['LEGAL_ADVICE']})}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, "end") AS INTEGER) AS id FROM f),
+    "highlight_boxes": f"""WITH {_DT}, {spans_sql('t', 'doc_id', {'RESPONSIVE': _CONCEPTS['RESPONSIVE']})}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, "end") AS INTEGER) AS id FROM f),
 l AS (SELECT doc_id, i, i * 60 AS s, i * 60 + 60 AS e FROM t, unnest(range(0, CAST(ceil(length(text) / 60) AS BIGINT))) AS u(i) WHERE length(text) > 0)
 SELECT k.doc_id, id, CAST(i // 30 + 1 AS INTEGER) AS page, round(50 / 600.0::DOUBLE, 6) AS x0, round((50 + (i % 30) * 20) / 800.0::DOUBLE, 6) AS y0, round(550 / 600.0::DOUBLE, 6) AS x1, round((70 + (i % 30) * 20) / 800.0::DOUBLE, 6) AS y1
 FROM k JOIN l ON k.doc_id = l.doc_id AND ((s <= start AND start < e) OR (s < "end" AND "end" <= e) OR (start <= s AND "end" >= e))""",

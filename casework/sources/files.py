@@ -213,6 +213,18 @@ def ocr(docs: DataFrame, recognise, *, threshold: int = 10) -> DataFrame:
     return docs.select("path", "page", "text", "content").mapInPandas(run, "path string, page int, text string, native boolean, conf double")
 
 
+# What a recogniser takes.
+OCR_SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp")
+
+
+def ocr_folder(spark: SparkSession, root: str, recognise) -> DataFrame:
+    """``ocr`` over all files below ``root`` that a recogniser takes, one page each: what has no text layer of its own is read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_root(root)).where(~_link("path"))
+    low = F.lower(extension_of(_local("path")))
+    pages = f.where(low.isin(*OCR_SUFFIXES)).select(_local("path").alias("path"), F.lit(0).alias("page"), F.lit(None).cast("string").alias("text"), "content")
+    return ocr(pages, recognise)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines with a fixed schema; blank lines are skipped, malformed ones fail."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

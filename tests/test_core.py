@@ -365,3 +365,51 @@ def test_resumed_stream(spark, tmp_path):
     assert once() == [(1,)]
     make(2).write.mode("append").parquet(src)
     assert once() == [(1,), (2,)]
+
+
+def test_methods_and_ocr(spark, tmp_path):
+    rec = spark.createDataFrame([("/a", "h1"), ("/b", None), ("/c", "H1")], "path string, sha256 string")
+    log = spark.createDataFrame(
+        [("1", "index.search", '{"query":"x","mode":"lexical"}', ["/"]), ("2", "cli.invoke", '{"argv":["t","--api-key","s"]}', ["/cwd"]), ("3", "cli.invoke", '{"command_line":"plain line"}', None), ("4", "other", None, None)],
+        "timestamp string, operation string, args string, inputs array<string>",
+    )
+    m = package.methods_appendix(rec, log, str(tmp_path / "m.json"))
+    assert m["documents"] == 3 and [s["query"] for s in m["searches"]] == ["x"] and [(c["command_line"], c["cwd"]) for c in m["commands"]] == [("t --api-key ***", "/cwd"), ("plain line", None)]
+    assert (tmp_path / "m.json").exists()
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.PNG").write_bytes(b"x")
+    (tmp_path / "p" / "b.txt").write_bytes(b"x")
+    got = files.ocr_folder(spark, str(tmp_path / "p"), lambda b: ("read", [90, -1, 70])).collect()
+    assert [(r["text"], r["native"], r["conf"]) for r in got] == [("read", False, 0.8)]
+
+
+def test_image_and_document_details(tmp_path):
+    tiff = b"II*\0" + (8).to_bytes(4, "little") + (2).to_bytes(2, "little") + b"\x00\x01\x03\0\x01\0\0\0\x07\0\0\0" + b"\x01\x01\x04\0\x01\0\0\0\x09\0\0\0"
+    assert files.image_size(tiff) == ("TIFF", 7, 9)
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("docProps/core.xml", '<c xmlns:dc="u"><dc:Title>T</dc:Title><dc:creator/></c>')
+    assert files.docx_properties((tmp_path / "d.docx").read_bytes()) == {"title": "T"}
+    with pytest.raises(FileNotFoundError):
+        files.discover_one(None, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("bad", [{"query": " "}, {"threshold": 1.2}, {"effort": "max"}, {"stage": 4}])
+def test_inputs_are_checked(bad):
+    with pytest.raises(ValueError):
+        package.check_inputs(**bad)
+
+
+def test_profiles(tmp_path):
+    assert package.load_profile(str(tmp_path / "none")) == {}
+    (tmp_path / "p.json").write_text('{"pii": {"enabled": true}}')
+    assert package.load_profile(str(tmp_path / "p.json")) == {"pii": {"enabled": True}}
+    assert review.enabled_entities(["EMAIL", "X"], ["EMAIL", "SSN"]) == ["EMAIL"] and review.enabled_entities([], ["SSN"]) == ["SSN"]
+
+
+def test_unknown_load_file(spark):
+    with pytest.raises(NotImplementedError):
+        produce.load_file(spark.range(1), "lfp")
+
+
+def test_query_terms():
+    assert t.query_terms('body:"smoking gun" AND NOT (custodian:doe OR a) priv*') == ["smoking", "gun", "doe", "priv"]
