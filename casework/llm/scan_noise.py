@@ -611,7 +611,7 @@ class Scans:
         shared_keys = spark.sparkContext.broadcast(keys)
 
         def used(batches):
-            """Per file: its words, the compounds its line ends could be (cuts null), and the shapes of its lines (how often they cut)."""
+            """Per file: its words with the compounds its line ends could be, and the shapes of its lines, whether they recur and cut."""
             for pdf in batches:
                 rows = []
                 for path, text in zip(pdf["path"], pdf["text"]):
@@ -641,21 +641,21 @@ class Scans:
                                     found.add((tok[-1][1] + "-" + nxt[0][1]).lower())
                                 if y.strip() and not (_shape(y) or _is_page(y) or _STAMP.match(y)):
                                     break
-                    rows += [(path, w, None, None) for w in found]
-                    rows += [(path, s, was, cuts) for s, (was, cuts) in shapes.items()]
-                yield pd.DataFrame(rows, columns=["path", "word", "again", "cuts"])
+                    rows.append((path, list(found), list(shapes), [int(was) for was, _ in shapes.values()], [c for _, c in shapes.values()]))
+                yield pd.DataFrame(rows, columns=["path", "words", "shapes", "again", "cuts"])
 
-        asked = cut(self.files.mapInPandas(used, "path string, word string, again boolean, cuts int"))
-        shapes = asked.where("again is not null and word not in ('W', 'W #')")
+        asked = cut(self.files.mapInPandas(used, "path string, words array<string>, shapes array<string>, again array<int>, cuts array<int>"))
+        shapes = asked.select("path", F.explode(F.arrays_zip("shapes", "again", "cuts")).alias("s"))
+        shapes = shapes.select("path", F.col("s.shapes").alias("word"), F.col("s.again").alias("again"), F.col("s.cuts").alias("cuts")).where("word not in ('W', 'W #')")
         usual_shapes = (
-            shapes.where("again").groupBy(F.col("word").alias("shape")).agg(F.countDistinct("path").alias("n"), F.avg("cuts").alias("cuts")).where("n >= 3 and cuts >= 0.2").select("shape")
+            shapes.where("again = 1").groupBy(F.col("word").alias("shape")).agg(F.countDistinct("path").alias("n"), F.avg("cuts").alias("cuts")).where("n >= 3 and cuts >= 0.2").select("shape")
         )
         # what a file is told, a line each: kind, word, and of links the word meant, its places, sure in lower case and else, vector
         flag = lambda c: F.when(F.col(c), "1").when(~F.col(c), "0").otherwise("")
         vec = F.coalesce(F.array_join(F.transform("vec", lambda x: x.cast("string")), ","), F.lit(""))
         told = link.select("word", F.concat_ws("\t", F.lit("L"), "word", "meant", F.col("n").cast("string"), flag("lo"), flag("up"), vec).alias("e"))
         told = told.unionByName(comp.select("word", F.concat_ws("\t", F.lit("C"), "word", flag("plain")).alias("e")))
-        mine = asked.where("again is null").select("path", "word").join(told, "word").select("path", "e")
+        mine = asked.select("path", F.explode("words").alias("word")).join(told, "word").select("path", "e")
         mine = mine.unionByName(shapes.join(usual_shapes, F.col("word") == F.col("shape")).select("path", F.concat_ws("\t", F.lit("S"), "word").alias("e")))
         mine = mine.distinct().groupBy("path").agg(F.array_sort(F.collect_list("e")).alias("known"))
         self.work = spread(cut(self.files.join(mine, "path", "left").select("path", "text", "known")))
