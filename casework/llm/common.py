@@ -12,6 +12,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from casework.shared import cut, spread
 
@@ -107,7 +108,7 @@ def attach(df: DataFrame, table: DataFrame, asked, keys: list[str], text: str, *
         got = table.toPandas().sort_values("k")
         shared = df.sparkSession.sparkContext.broadcast((got["k"].to_numpy(np.int64), got["v"].to_numpy(float)))
         return df.withColumns({"known_k": F.lit(None).cast("array<long>"), "known_v": F.lit(None).cast("array<double>")}), shared
-    schema = df.select(*keys).schema.add("k", "array<bigint>")
+    schema = df.select(*keys).schema.add("k", ArrayType(LongType()))
 
     def run(batches):
         for pdf in batches:

@@ -191,7 +191,8 @@ def _names(t: str, given: frozenset[str] = GIVEN) -> list[tuple[int, int, dict]]
                 broken = max(broken, s)
                 x = words[j + 1][2]
                 ok = kind[j + 1] == "c" if k == "g" else kind[j + 1] == "l" and len(x.rstrip(".")) > 5
-                if ok and not (words[i][2].endswith(".") and len(words[i][2]) > 4):
+                heads = broken == 2 and t[words[j + 1][1] : words[j + 1][1] + 4].lstrip(" *").startswith(":")  # the next line is a header
+                if ok and not heads and not (words[i][2].endswith(".") and len(words[i][2]) > 4):
                     fam = tail(x)
                     out.append((words[i][0], words[j + 1][0] + len(fam), {"given": 1, "fam": fam, "initials": initials, "comma": 0, "broken": broken == 2, "lower": k == "h"}))
         elif k == "i" and (i == 0 or kind[i - 1] != "i" or joined(i - 1) != 1):
@@ -434,7 +435,8 @@ def learn(texts: DataFrame, *, families: int = 3) -> tuple[dict[str, float], fro
     """
 
     def count(batches):
-        pair = re.compile(r"([^\W\d_]+)\s(?:[A-ZÀ-Þ]\.?\s)?([A-ZÀ-Þ][^\W\d_]{4,})")
+        pair = re.compile(r"\b([A-ZÀ-Þ][^\W\d_]+)(?=\s(?:[A-ZÀ-Þ]\.?\s)?([A-ZÀ-Þ][^\W\d_]{4,}))")
+        both = re.compile(r"\b([A-ZÀ-Þ][^\W\d_]{2,})(?= (?:[A-ZÀ-Þ]\.? )?([A-ZÀ-Þ][^\W\d_]{4,}))")
         cap = re.compile(r"\b[A-ZÀ-Þ][^\W\d_]{4,}")
         for pdf in batches:
             seen: dict[str, list[int]] = {}
@@ -443,11 +445,9 @@ def learn(texts: DataFrame, *, families: int = 3) -> tuple[dict[str, float], fro
                 for w in cap.findall(t):
                     seen.setdefault(w, [0, 0])[1] += 1
                 for g, w in pair.findall(t):
-                    if g[:1].isupper() and w in seen:
-                        if len(g) > 2:
-                            pairs.add((g, w))
-                        if fold(g) in GIVEN and fold(w) not in GIVEN:
-                            seen[w][0] += 1
+                    if fold(g) in GIVEN and fold(w) not in GIVEN and w in seen:
+                        seen[w][0] += 1
+                pairs.update(both.findall(t))
             yield pd.DataFrame([("", k, *v) for k, v in seen.items()] + [(fold(g), w, 0, 0) for g, w in pairs], columns=["first", "word", "after", "n"])
 
     ending = F.udf(lambda w: fold(w)[-3:], "string", useArrow=True)
@@ -462,7 +462,8 @@ def learn(texts: DataFrame, *, families: int = 3) -> tuple[dict[str, float], fro
     # the words that also stand behind a usual given name are families
     given = cut(counted.where("first <> ''").select("first", "word").join(by_word, "word").groupBy("first").agg(F.count_if(F.col("p") > 0).alias("k"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= families))
     firsts = given.select(F.udf(_key, "long", useArrow=True)("first").alias("k"), (F.col("k") / F.col("n")).alias("v"))
-    found = given.where((F.col("k") >= families) & (F.col("k") >= 0.5 * F.col("n"))).select("first").toPandas()["first"]
+    family = by_word.where("p > 0").select(F.udf(fold, "string", useArrow=True)("word").alias("first")).distinct()  # these are no given names
+    found = given.where((F.col("k") >= families) & (F.col("k") >= 0.5 * F.col("n"))).select("first").join(family, "first", "left_anti").toPandas()["first"]
     titles = {fold(x) for x in _TITLES} | TITLES
     return endings, GIVEN | {x for x in found if x not in _PARTICLE and x not in titles}, firsts
 
