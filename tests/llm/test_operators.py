@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from casework import shared
 from casework.llm import chunking, common, email_text, keyword_spam, leakage, mixing, name_variants, near_dup, neighbours, personal_data, scan_noise
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven old wizards brew bitter coffee near their quiet river".split()
@@ -74,6 +76,32 @@ def test_near_dup_one_text_many_times(spark):
     assert rows(near_dup.NearDuplicates(df, key="id", shingle=3, threshold=0.6).pairs()) == brute_pairs(docs, 3, 0.6)
 
 
+@pytest.mark.parametrize("part", [150, 1 << 24])
+def test_near_dup_parts_of_the_matrix(spark, monkeypatch, part):
+    """With more parts than the tokens asked of two prefixes, and with few, no pair is lost."""
+    rng = random.Random(5)
+    bases = [[rng.choice(WORDS) + str(rng.randrange(5)) for _ in range(rng.randrange(6, 90))] for _ in range(20)]
+    docs = [(f"d{i:03}", edited(rng, rng.choice(bases))) for i in range(150)]
+    docs += [(docs[0][0], docs[1][1]), ("copy", docs[2][1]), docs[3]]
+    monkeypatch.setattr(near_dup, "PART", part)
+    got = near_dup.NearDuplicates(spark.createDataFrame(docs, "id string, text string"), key="id", shingle=3, threshold=0.6)
+    sets = [(i, set(common.shingles(x, 3).tolist())) for i, x in docs]
+    want = {tuple(sorted((a, b))) for (a, x), (b, y) in itertools.combinations(sets, 2) if a != b and len(x & y) / len(x | y) >= 0.6}
+    assert set(rows(got.pairs())) == want
+
+
+def test_near_dup_leaves_less_than_the_texts(spark):
+    """No table of tokens, nor of texts, is written: they took several times the room of the texts."""
+    rng = random.Random(2)
+    docs = [(f"d{i:04}", " ".join(f"{rng.getrandbits(28):x}" for _ in range(120))) for i in range(1500)]
+    docs += [(f"e{i}", x + " end") for i, (_, x) in enumerate(docs[:200])]
+    folder = Path(shared.work_dir(spark).removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet") if p.is_file())
+    before = held()
+    assert near_dup.NearDuplicates(spark.createDataFrame(docs, "id string, text string"), key="id", shingle=3, threshold=0.6).pairs().count() == 200
+    assert held() - before < sum(len(x) for _, x in docs) / 2
+
+
 def test_near_dup_empty(spark):
     nd = near_dup.NearDuplicates(spark.createDataFrame([], "id string, text string"), key="id")
     assert nd.pairs().count() == 0 and nd.classes().count() == 0
