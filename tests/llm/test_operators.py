@@ -136,6 +136,31 @@ def test_nearest_recall(spark, floor, shard):
     assert floor is None or len(got - want) <= 0.05 * len(want)
 
 
+@pytest.mark.parametrize("block", [300, 16_000])
+def test_nearest_writes_no_routed_vectors(spark, block):
+    """Graphs and routed queries are not written, in how many tasks a shard may be searched; they took several times the vectors."""
+    x = clustered(3000, dim=96)
+    df = spark.createDataFrame([(f"v{i:04}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<float>")
+    folder = Path(shared.work_dir(spark).removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet") if p.is_file())
+    before = held()
+    got = {(r["id"], r["other"]) for r in neighbours.nearest(df, k=3, floor=0.8, shard_size=700, sample=500, block=block).collect()}
+    assert held() - before < 1.3 * x.nbytes
+    s = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(s, -2)
+    want = {(f"v{i:04}", f"v{j:04}") for i in range(len(x)) for j in np.argsort(-s[i])[:3] if s[i, j] >= 0.8}
+    assert len(got & want) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_repeated_identifiers_broadcast_or_not(spark, monkeypatch, most):
+    """The vector of the least batch counts, however many identifiers are repeated."""
+    monkeypatch.setattr(neighbours, "AGAIN", most)
+    data = [(2, ["a", "b"], [[0.0, 2.0], [3.0, 0.0]]), (1, ["a", "c"], [[5.0, 0.0], [0.0, 1.0]]), (1, ["a", "c"], [[5.0, 0.0], [0.0, 1.0]])]
+    df = spark.createDataFrame(data, "batch_id long, identifiers array<string>, embeddings array<array<float>>")
+    assert rows(neighbours.vectors(df, dim=2)) == [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0])]
+
+
 def test_graph_blob_round_trip():
     import pandas as pd
 
