@@ -102,6 +102,11 @@ def _lowered(chunk: str) -> tuple[str, ...]:
     return tuple(w.lower() for w in _TOKEN.findall(chunk))
 
 
+@lru_cache(maxsize=200_000)
+def _odd_inside(chunk: str) -> bool:
+    return any(odd(w) for w in _lowered(chunk))
+
+
 def _ends_cut(line: str) -> bool:
     s = line.rstrip()
     return bool(s) and s[-1] in HYPHENS and bool(_CUT.search(s))
@@ -176,29 +181,36 @@ def _pairs(index: dict[str, int], wanted: np.ndarray):
     width = max(1, len(index))
     most = 200_000  # tokens at once
 
-    def coded(at: list[int], known: list[int]):
-        a, c = np.array(at, np.int64), np.array(known, np.int64)
+    def coded(at: list[int]):
+        """Pairs of words within the window, the lesser first, and their counts."""
+        a = np.array(at, np.int64)
         codes = []
         for o in range(1, min(WINDOW + 1, len(a))):
-            for x, y in ((a[o:], c[:-o]), (a[:-o], c[o:])):
-                k = (x >= 0) & (y >= 0)
-                codes.append(x[k] * width + y[k])
+            x, y = a[o:], a[:-o]
+            k = (x >= 0) & (y >= 0)
+            codes.append((np.minimum(x, y)[k] << 32) + np.maximum(x, y)[k])
         return np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
 
     def run(batches):
         for pdf in batches:
             ids: dict[str, int] = {}
-            at, known, parts = [], [], []
+            at, parts = [], []
             for t in pdf["text"]:
                 w = word.findall(t.lower())
                 at += [ids.setdefault(x, len(ids)) for x in w] + [-1] * WINDOW  # no window reaches into the next text
-                known += [index.get(x, -1) for x in w] + [-1] * WINDOW
                 if len(at) > most:
-                    parts.append(coded(at, known))
-                    at, known = [], []
-            parts.append(coded(at, known))
-            code, inv = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-            n = np.bincount(inv, weights=np.concatenate([k for _, k in parts]), minlength=len(code)).astype(np.int64)
+                    parts.append(coded(at))
+                    at = []
+            parts.append(coded(at))
+            pair, inv = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            n = np.bincount(inv, weights=np.concatenate([k for _, k in parts]), minlength=len(pair)).astype(np.int64)
+            known = np.array([index.get(x, -1) for x in ids], np.int64)
+            x, y = pair >> 32, pair & 0xFFFFFFFF
+            x, y, n = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((n, n))  # each is the other's context
+            k = known[y] >= 0 if len(y) else np.zeros(0, bool)
+            code, n = x[k] * width + known[y[k]], n[k]
+            code, inv = np.unique(code, return_inverse=True)  # a word beside itself comes twice
+            n = np.bincount(inv, weights=n, minlength=len(code)).astype(np.int64)
             names = np.array(list(ids), dtype=object)
             use = np.array([wanted[_bit(x)] for x in ids], bool)[code // width] if len(code) else np.zeros(0, bool)
             code, n = code[use], n[use]
@@ -309,15 +321,24 @@ class Skeletons:
 
     def __init__(self, keys: frozenset[str]):
         self.keys = keys
+        self.signs: dict[str, str] = {}  # of the words met so far; emptied when it is full
+
+    def _sign(self, w: str) -> str:
+        if w[0] in "0123456789OlIS" and _NUMERIC.match(w):
+            s = "#"
+        else:
+            k = glyph_key(w)
+            s = k if k in self.keys or w in "/," else "W"
+        if len(self.signs) > 200_000:
+            self.signs.clear()
+        self.signs[w] = s
+        return s
 
     def of(self, line: str) -> str:
         out: list[str] = []
+        get = self.signs.get
         for w in _PART.findall(line):
-            if w[0] in "0123456789OlIS" and _NUMERIC.match(w):
-                s = "#"
-            else:
-                k = glyph_key(w)
-                s = k if k in self.keys or w in "/," else "W"
+            s = get(w) or self._sign(w)
             if s != "W" or not out or out[-1] != "W":
                 out.append(s)
         return " ".join(out)
@@ -326,6 +347,7 @@ class Skeletons:
 _FIRM = re.compile(r"\b(?:S\.?A|Co|Inc|Ltd|Corp|L\.?L\.?P)\.$")
 
 
+@lru_cache(maxsize=4_096)
 def _shape(line: str) -> bool:
     """Could be furniture by its looks: not a sentence nor the middle of one."""
     s = line.strip()
@@ -339,6 +361,7 @@ def _shape(line: str) -> bool:
     return not _HEADING.match(s)
 
 
+@lru_cache(maxsize=4_096)
 def split_number(line: str) -> tuple[str, bool]:
     """The line without a page number that stands apart in it; whether there was one."""
     s = line.strip()
@@ -353,6 +376,7 @@ def split_number(line: str) -> tuple[str, bool]:
     return s, False
 
 
+@lru_cache(maxsize=4_096)
 def _is_page(line: str) -> bool:
     s = line.strip()
     if len(s) > 20 and len(s.split()) > 8 or not _PAGE.match(s) or _HEADING.match(s):
@@ -360,6 +384,7 @@ def _is_page(line: str) -> bool:
     return bool(re.search(r"\d", s)) or bool(re.fullmatch(r"[-–—\[(|\s]*[ivxl]+[-–—\])|\s]*", s)) or bool(re.match(r"\s*[-–\[]\s*[OlISB]\s*[-–\]]|p", s, re.I) and len(s) < 14 and not s.isalpha())
 
 
+@lru_cache(maxsize=4_096)
 def _own_key(s: str) -> str:
     return re.sub(r"[\W\d_]+", " ", glyph_key(s)).strip()
 
@@ -376,6 +401,37 @@ def recurring(lines: list[str]) -> set[int]:
     return {i for v in seen.values() if len(v) > 1 for i in v}
 
 
+def marked(lines: list[str], skeletons: Skeletons) -> tuple[dict[str, list[int]], list[int]]:
+    """Shapes of the lines, with whether they recur and cut; and what each line is as far as the text alone tells.
+
+    0: no furniture, 1: a page number, 2: a header, 3 and more: a header if the shape with this place (from 3) is known.
+    """
+    again = recurring(lines)
+    apart = {i for i in again if Repair._apart(lines, i)}
+    cutting = {_own_key(split_number(lines[i])[0]) for i in apart}
+    shapes: dict[str, list[int]] = {}  # recurs, cuts, place
+    codes = [0] * len(lines)
+    for i, x in enumerate(lines):
+        if not x.strip():
+            continue
+        if shape := _shape(x):
+            s, numbered = split_number(x)
+            seen = shapes.setdefault(skeletons.of(s), [0, 0, len(shapes) + 3])
+            if i in again:
+                seen[0] = 1
+                seen[1] |= i in apart
+        if _is_page(x):
+            codes[i] = 1
+        elif _STAMP.match(x):
+            codes[i] = 2
+        elif shape:
+            if numbered or (i in again and _own_key(s) in cutting):
+                codes[i] = 2
+            elif not _OPEN.search(s[-6:]):  # none of its words is longer than four letters
+                codes[i] = seen[2]
+    return shapes, codes
+
+
 class Repair:
     """What the corpus has taught, and the repair of a text by it.  Small enough to be broadcast."""
 
@@ -385,22 +441,13 @@ class Repair:
 
     def furniture(self, lines: list[str], known: set[str] | None = None) -> list[str]:
         known = self.known if known is None else known
-        again = recurring(lines)
-        cutting = {_own_key(split_number(lines[i])[0]) for i in again if self._apart(lines, i)}
-        out = [""] * len(lines)
-        for i, x in enumerate(lines):
-            if not x.strip():
-                continue
-            if _is_page(x):
-                out[i] = "page_no"
-            elif _STAMP.match(x):
-                out[i] = "header"
-            elif _shape(x):
-                s, numbered = split_number(x)
-                k = self.skeletons.of(s)
-                if (k in known and (numbered or not _OPEN.search(s))) or numbered or (i in again and _own_key(s) in cutting):
-                    out[i] = "header"
-        return out
+        shapes, codes = marked(lines, self.skeletons)
+        return self.kinds(codes, list(shapes), known)
+
+    @staticmethod
+    def kinds(codes, shapes: list[str], known: set[str]) -> list[str]:
+        told = ["", "page_no", "header", *["header" if x in known else "" for x in shapes]]
+        return [told[c] for c in codes]
 
     @staticmethod
     def _apart(lines: list[str], i: int) -> bool:
@@ -436,16 +483,16 @@ class Repair:
                 best, score = cand, s
         return best
 
-    def read(self, text: str, fixes: dict[str, list[tuple]], compounds: dict[str, bool], known: set[str] | None = None):
+    def read(self, text: str, fixes: dict[str, list[tuple]], compounds: dict[str, bool], known: set[str] | None = None, furniture: list[str] | None = None):
         """lines, kinds per line (a set), replacements per line [(start, end, word)], joins {line: next line}."""
         lines = lines_of(text)
         kinds: list[set[str]] = [set() for _ in lines]
-        for i, k in enumerate(self.furniture(lines, known)):
+        for i, k in enumerate(self.furniture(lines, known) if furniture is None else furniture):
             if k:
                 kinds[i].add(k)
         body = [i for i, x in enumerate(lines) if x.strip() and not kinds[i]]
         toks = _Lazy(lines)
-        strange = {x for x in set(text.split()) if (x.lower() in fixes if x.isalpha() else any(w in fixes or odd(w) for w in _lowered(x)))}
+        strange = {x for x in set(text.split()) if (x.lower() in fixes if x.isalpha() else _odd_inside(x) or not fixes.keys().isdisjoint(_lowered(x)))}
         edits: dict[int, list[tuple[int, int, str]]] = {}
         joins: dict[int, int] = {}
         flat: list[tuple[int, int, str, str]] = []  # line, start, as printed, whole word
@@ -569,7 +616,8 @@ class Scans:
     def __init__(self, payloads: DataFrame, pages: DataFrame, *, frequent: int = 30_000, size: int = 32, ratio: int = 8):
         spark = payloads.sparkSession
         need = pages.where("needs_ocr and path is not null").select("path").distinct().withColumn("s", F.lit(1))
-        p = payloads.where("path is not null and length(text) > 0").select("path", "text").dropDuplicates(["path", "text"])
+        # once by path: repeated rows meet there, and so do a file and its pages
+        p = payloads.where("path is not null and length(text) > 0").select("path", "text").repartition("path").dropDuplicates(["path", "text"])
         t = spread(cut(p.join(need, "path", "left").select("path", "text", F.coalesce("s", F.lit(0)).alias("scanned"))))
         self.files = t.where("scanned = 1").select("path", "text")
         words = cut(
@@ -623,15 +671,10 @@ class Scans:
                         else:
                             found.update(_lowered(x))
                     found -= safe.value
-                    shapes: dict[str, tuple[bool, int]] = {}
-                    again = recurring(lines)
+                    shapes, codes = marked(lines, shared_keys.value)
                     for i, x in enumerate(lines):
                         if not x.strip():
                             continue
-                        if _shape(x):
-                            s = shared_keys.value.of(split_number(x)[0])
-                            was, cuts = shapes.get(s, (False, 0))
-                            shapes[s] = (was or i in again, max(cuts, int(i in again and Repair._apart(lines, i))))
                         tok = _tokens(x) if x.rstrip()[-1] in HYPHENS else ()
                         if tok and _ends_cut(x):
                             for y in lines[i + 1 :]:  # furniture may stand between
@@ -641,10 +684,11 @@ class Scans:
                                     found.add((tok[-1][1] + "-" + nxt[0][1]).lower())
                                 if y.strip() and not (_shape(y) or _is_page(y) or _STAMP.match(y)):
                                     break
-                    rows.append((path, list(found), list(shapes), [int(was) for was, _ in shapes.values()], [c for _, c in shapes.values()]))
-                yield pd.DataFrame(rows, columns=["path", "words", "shapes", "again", "cuts"])
+                    rows.append((path, text, list(found), list(shapes), [x for x, *_ in shapes.values()], [x for _, x, _ in shapes.values()], np.array(codes, "<i4").tobytes()))
+                yield pd.DataFrame(rows, columns=["path", "text", "words", "shapes", "again", "cuts", "codes"])
 
-        asked = cut(self.files.mapInPandas(used, "path string, words array<string>, shapes array<string>, again array<int>, cuts array<int>"))
+        schema = "path string, text string, words array<string>, shapes array<string>, again array<int>, cuts array<int>, codes binary"
+        asked = cut(self.files.mapInPandas(used, schema))
         shapes = asked.select("path", F.explode(F.arrays_zip("shapes", "again", "cuts")).alias("s"))
         shapes = shapes.select("path", F.col("s.shapes").alias("word"), F.col("s.again").alias("again"), F.col("s.cuts").alias("cuts")).where("word not in ('W', 'W #')")
         usual_shapes = (
@@ -658,7 +702,7 @@ class Scans:
         mine = asked.select("path", F.explode("words").alias("word")).join(told, "word").select("path", "e")
         mine = mine.unionByName(shapes.join(usual_shapes, F.col("word") == F.col("shape")).select("path", F.concat_ws("\t", F.lit("S"), "word").alias("e")))
         mine = mine.distinct().groupBy("path").agg(F.array_sort(F.collect_list("e")).alias("known"))
-        self.work = spread(cut(self.files.join(mine, "path", "left").select("path", "text", "known")))
+        self.work = spread(cut(asked.select("path", "text", F.col("shapes").alias("own"), "codes").join(mine, "path", "left")))
         v = vectors.top
         mean = np.sum([usual[w] * x for w, x in v.items()], 0) / max(1, sum(usual[w] for w in v)) if v else None
         self.vectors = vectors
@@ -672,9 +716,9 @@ class Scans:
             rep = shared.value
             for pdf in batches:
                 rows = []
-                for path, text, mine in zip(pdf["path"], pdf["text"], pdf["known"]):
+                for path, text, own, codes, mine in zip(pdf["path"], pdf["text"], pdf["own"], pdf["codes"], pdf["known"]):
                     fixes, comp, shapes = _told(mine)
-                    rows += row(path, *rep.read(text, fixes, comp, shapes))
+                    rows += row(path, *rep.read(text, fixes, comp, shapes, rep.kinds(np.frombuffer(codes, "<i4").tolist(), own, shapes)))
                 yield pd.DataFrame(rows, columns=names)
 
         return self.work.mapInPandas(run, schema)

@@ -210,6 +210,21 @@ def test_scan_marks_and_text(spark):
     assert "records custodian. The supplier sent the vendor invoice to the office" in text["s1"] and "Deposition" not in text["s1"] and "long-standing" in text["s1"]
 
 
+def test_scan_lines_are_marked_once(spark, monkeypatch):
+    """What a text alone tells of its lines travels with it: the last pass does not look for furniture again."""
+    page = "Ledger of Deeds\n\nThe clerk wrote that the river had risen over the\n{}\nstone bridge and that nobody was able to cross it."
+    docs = [(f"f{i}", page.format(f"Northern Assize   {i + 1}") + f"\n\nPage {i + 2}") for i in range(6)]
+    made = scan_noise.Scans(spark.createDataFrame(docs, "path string, text string"), spark.createDataFrame([(p, True) for p, _ in docs], "path string, needs_ocr boolean"))
+    assert {"own", "codes"} <= set(made.work.columns)
+    got = {(r["path"], r["line_no"], r["kind"]) for r in made.marks().collect()}
+    want = set()
+    for r in made.work.collect():
+        told = scan_noise._told(r["known"])[2]
+        for i, k in enumerate(made.repair.value.furniture(scan_noise.lines_of(r["text"]), told)):
+            want |= {(r["path"], i + 1, k)} if k else set()
+    assert want and want == {x for x in got if x[2] in ("header", "page_no")} and {("f0", 4, "header"), ("f0", 7, "page_no")} <= want
+
+
 def test_scan_empty(spark):
     assert scans(spark, [("c", "x")]).marks().count() == 0
     e = spark.createDataFrame([], "path string, text string")
